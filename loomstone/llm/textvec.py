@@ -114,7 +114,8 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def words(b: Block, data: np.ndarray | None = None, p: np.ndarray | None = None) -> Spans:
+def words(b: Block, data: np.ndarray | None = None, p: np.ndarray | None = None, split: np.ndarray | None = None) -> Spans:
+    """Words of a block. data: bytes to take for the block's own; split: bytes before which a word is split as well."""
     data = b.data if data is None else data
     if not len(data):
         e = np.zeros(0, np.int64)
@@ -122,6 +123,8 @@ def words(b: Block, data: np.ndarray | None = None, p: np.ndarray | None = None)
     solid = ~SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[b.at] = True
+    if split is not None:
+        edge[:-1] |= split
     begin = np.flatnonzero(solid & (edge[:-1] | np.concatenate(([True], ~solid[:-1]))))
     end = np.flatnonzero(solid & (edge[1:] | np.concatenate((~solid[1:], [True])))) + 1
     p = prefix_sums(data) if p is None else p
