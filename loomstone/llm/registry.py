@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["op2_mixing", "op3_language_id", "op4_packing", "op5_ann", "op6_substring_dedup", "op7_quality_rules", "op8_chat_format", "op9_quality_classifier", "op10_warc"]
+MODULES = [
+    "op1_minhash", "op2_mixing", "op3_language_id", "op4_packing", "op5_ann", "op6_substring_dedup", "op7_quality_rules", "op8_chat_format",
+    "op9_quality_classifier", "op10_warc",
+]
 
 
 def _all(name: str) -> dict:
