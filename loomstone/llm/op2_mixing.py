@@ -66,13 +66,13 @@ def newton(size: str, target: str, steps: int = NEWTON_STEPS) -> Column:
     return F.when((s > 0) & (t > 0), F.exp(solved)).otherwise(0.0)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, with_row: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, taken (words the mix takes, repeats counted), copies
-    (whole ones), rate, and the columns named in ``carry``."""
+    (whole ones), rate, and, if asked for, ``row``, a struct of the row's own columns."""
     key = ["missing", "name", "range"]
     d = docs.select(
         F.col(id_col).alias("doc_id"), word_count(text_col).alias("size"), F.col(source_col).isNull().alias("missing"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("digest"), *[F.col(c).alias(f"carry_{c}") for c in carry],
+        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("digest"), *([F.struct(*docs.columns).alias("row")] if with_row else []),
     ).withColumn("range", F.substring("digest", 1, RANGE_DIGITS))
     ranges = d.groupBy(*key).agg(F.sum("size").alias("words"))
     s = targets(ranges.groupBy("missing", "name").agg(F.sum("words").alias("source_size")), share, weights, most)
@@ -84,17 +84,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     at = F.col("range_before") + F.coalesce(F.sum("size").over(within), F.lit(0))
     d = d.join(ranges, key).withColumn("taken", whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), more - at)))
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return d.select("doc_id", "size", "source_size", "target", "taken", copies.alias("copies"), "rate", *[F.col(f"carry_{c}").alias(c) for c in carry if c != id_col])
+    return d.select("doc_id", "size", "source_size", "target", "taken", copies.alias("copies"), "rate", *(["row"] if with_row else []))
 
 
-def materialise(docs: DataFrame, columns: list[str], **options) -> DataFrame:
-    """The mixed corpus: every document as many times as the mix takes it, the last time cut after the words taken."""
-    m = mix(docs, carry=tuple(columns), **options)
+def materialise(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The mixed corpus, with the columns of docs: every document as many times as the mix takes it, the last time cut after
+    the words taken."""
+    m = mix(docs, text_col=text_col, with_row=True, **options)
     rest = F.when(F.col("size") > 0, F.col("taken") - F.col("copies") * F.col("size")).otherwise(0)
     times = F.sequence(F.lit(1), F.col("copies") + (F.col("rest") > 0).cast("int"))
     m = m.withColumn("rest", rest).where("copies > 0 or rest > 0").withColumn("copy", F.explode(times))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"({SPACE}*{WORD})")), 1, F.greatest(F.col("rest"), F.lit(1)).cast("int")), "")
-    return m.withColumn("text", F.when(F.col("copy") > F.col("copies"), cut).otherwise(F.col("text")))
+    text = F.col("row")[text_col]
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"({SPACE}*{WORD})")), 1, F.greatest(F.col("rest"), F.lit(1)).cast("int")), "")
+    text = F.when(F.col("copy") > F.col("copies"), cut).otherwise(text)
+    return m.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,15 +122,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the spans cut out of their texts; all rows and columns stay."""
     cuts = spans.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("begin_byte", "end_byte"))).alias("cuts"))
-    names = docs.columns
-    joined = docs.withColumn("row_key", row_key(id_col, text_col)).join(cuts.withColumnRenamed("row_key", "cut_key"), F.col("row_key") == F.col("cut_key"), "left")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row_key(id_col, text_col))
+    joined = rows.join(cuts.withColumnRenamed("row_key", "cut_key"), F.col("row_key") == F.col("cut_key"), "left")
     # between cuts, from the end of one to the beginning of the next, in bytes
-    raw = F.col(text_col).cast("binary")
+    whole = F.col("row")[text_col]
+    raw = whole.cast("binary")
     ends = F.concat(F.array(F.lit(0)), F.transform("cuts", lambda x: x["end_byte"]))
-    begins = F.concat(F.transform("cuts", lambda x: x["begin_byte"]), F.array(F.octet_length(F.col(text_col))))
+    begins = F.concat(F.transform("cuts", lambda x: x["begin_byte"]), F.array(F.octet_length(whole)))
     left = F.zip_with(ends, begins, lambda a, z: F.substring(raw, a + 1, F.greatest(z - a, F.lit(0))))
-    text = F.when(F.col("cuts").isNull(), F.col(text_col)).otherwise(F.aggregate(left, F.lit("").cast("binary"), lambda x, y: F.concat(x, y)).cast("string"))
-    return joined.withColumn(text_col, text).select(*names)
+    text = F.when(F.col("cuts").isNull(), whole).otherwise(F.aggregate(left, F.lit("").cast("binary"), lambda x, y: F.concat(x, y)).cast("string"))
+    return joined.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
