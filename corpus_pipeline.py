@@ -28,8 +28,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one document of each group, that with the smallest doc_id; of rows equal in id and text one."""
     found = op1_minhash.near_duplicates(docs)
     kept = Scratch(spark, "kept").cut(found.where("kept").select(F.col("row_key").alias("kept_key")).distinct(), "keys")
-    keyed = docs.withColumn("row_key", op1_minhash.row_key())
-    return keyed.join(kept, F.col("row_key") == F.col("kept_key"), "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), op1_minhash.row_key())
+    return keyed.join(kept, F.col("row_key") == F.col("kept_key"), "left_semi").dropDuplicates(["row_key"]).select("row.*")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and drops documents as the target weights of their sources ask for."""
-    mixed = op2_mixing.materialise(docs, docs.columns)
+    mixed = op2_mixing.materialise(docs)
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
