@@ -53,6 +53,20 @@ class Scratch:
                 p.getFileSystem(conf).delete(p, True)
 
 
+def narrowed(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, most_bits: int = 25) -> DataFrame:
+    """The rows of a large frame whose key may be in wanted, without moving them: a bit map of hashed keys, of 2 ** most_bits
+    bits at most (a table of 8 MB), is broadcast. Some other rows pass too, so a join with wanted must follow; if wanted
+    is so large that the map is full, all pass and that join does the work."""
+    n = wanted.count()
+    bits = min(most_bits, max(16, (16 * n).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(F.lit(3), F.col(c)), F.lit(1 << bits))
+    at = wanted.select(place(wanted_key).alias("p"))
+    words = at.groupBy(F.shiftright("p", 6).alias("map_word")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("map_bits"))
+    r = rows.withColumn("map_place", place(key)).withColumn("map_word_of", F.shiftright("map_place", 6))
+    hit = F.expr("(map_bits & shiftleft(1L, int(map_place & 63))) <> 0")
+    return r.join(F.broadcast(words), F.col("map_word_of") == F.col("map_word")).where(hit).select(*rows.columns)
+
+
 def crc_mod(doc_id, n: int):
     """crc32 of the id as text, modulo n; for a null id that of the empty text, 0."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % F.lit(n)

@@ -6,10 +6,10 @@ probability (1 - 0.75^4)^32, about 5e-6). A candidate's signatures are compared
 posterior of the similarity (uniform prior) decides, and a pair whose probability of reaching the threshold is below
 ``MISS`` is dropped. Survivors are confirmed on the full sets.
 
-No group emits all its pairs. Round one compares each member of a bucket with the bucket's first member only. Links give
-components. Round two takes buckets that still hold several components, and compares members outside of the bucket's
+No group emits all its pairs. Round one compares each member of a bucket with the bucket's first member only, then with
+the member that has most links. Links give components. Round two takes buckets that still hold several components, and compares members outside of the bucket's
 largest component with the members of other components: every pair that could still join two components, and no other.
-Large buckets do that in blocks of 256 by 256 inside a task, which give out survivors only. The last components come from
+Large buckets do that in blocks of 512 by 512 inside a task, which confirm what survives there and give out links only. The last components come from
 hooking to smaller neighbours and pointer jumping over written tables.
 
 Skew: copies meet in aggregates that combine before the shuffle; joins on a bucket, a first member or a root are between
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm import textvec as V
-from loomstone.llm.common import Scratch, table
+from loomstone.llm.common import Scratch, narrowed, table
 
 WORDS = 5
 PERCENT = 75
@@ -41,7 +41,7 @@ BANDS, ROWS = 32, 4
 BATCH = 32
 MISS = 1e-6
 SMALL_BUCKET = 64
-BLOCK = 256
+BLOCK = 512
 _K = BANDS * ROWS
 _FACTORS = np.random.Generator(np.random.PCG64(1009)).integers(0, 2**63, _K, dtype=V.U) * V.U(2) + V.U(1)
 SETS = "doc_id long, row_key long, n_shingles long, k1 long, k2 long, signature binary"
@@ -78,6 +78,17 @@ def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def digests(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each set."""
+    n = np.diff(at)
+    k1, k2 = np.zeros(len(n), V.U), np.zeros(len(n), V.U)
+    full = n > 0
+    if full.any():
+        k1[full] = np.add.reduceat(V.mix(h ^ V.U(0xA5A5A5A5)), at[:-1][full])
+        k2[full] = np.bitwise_xor.reduceat(V.mix(h ^ V.U(0x5A5A5A5A5A)), at[:-1][full])
+    return V.mix(k1 + n.astype(V.U)), k2
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text"):
     return F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key")
 
@@ -90,12 +101,8 @@ def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for b in V.blocks(batch.column(2)):
                 h, at = shingle_sets(b)
                 n = np.diff(at)
-                k1, k2 = np.zeros(b.docs, V.U), np.zeros(b.docs, V.U)
                 full = n > 0
-                if full.any():
-                    k1[full] = np.add.reduceat(V.mix(h ^ V.U(0xA5A5A5A5)), at[:-1][full])
-                    k2[full] = np.bitwise_xor.reduceat(V.mix(h ^ V.U(0x5A5A5A5A5A)), at[:-1][full])
-                k1 = V.mix(k1 + n.astype(V.U))
+                k1, k2 = digests(h, at)
                 s = iter(signatures(h, at))
                 signature = pa.array([next(s).astype("<u4").tobytes() if f else None for f in full], pa.binary())
                 part = batch.slice(b.first, b.docs)
@@ -104,16 +111,18 @@ def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SETS)
 
 
-def full_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row_key and the set itself (binary, ascending 64-bit hashes)."""
+def full_sets(texts: DataFrame, text_col: str) -> DataFrame:
+    """node and the set itself (binary, ascending 64-bit hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in V.blocks(batch.column(1)):
+            for b in V.blocks(batch.column(0)):
                 h, at = shingle_sets(b)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.docs), pa.array([h[a:z].tobytes() for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["row_key", "members"])
+                full = np.flatnonzero(np.diff(at))
+                node = digests(h, at)[0][full].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([h[at[i] : at[i + 1]].tobytes() for i in full], pa.binary())], ["node", "members"])
 
-    return docs.select(row_key(id_col, text_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "row_key long, members binary")
+    return texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "node long, members binary")
 
 
 @lru_cache
@@ -136,6 +145,14 @@ def pruned(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return alive
 
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets (ascending) reach the threshold."""
+    z = np.concatenate((x, y))
+    z.sort(kind="stable")
+    both = int(np.count_nonzero(z[1:] == z[:-1]))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def sizes_fit(a, b):
     """Whether sets of these sizes can be similar enough at all."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
@@ -152,11 +169,7 @@ def _set_check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), V.U), np.frombuffer(y.as_buffer(), V.U)
-            z = np.concatenate((x, y))
-            z.sort(kind="stable")
-            both = int((z[1:] == z[:-1]).sum())
-            ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            ok.append(similar(np.frombuffer(x.as_buffer(), V.U), np.frombuffer(y.as_buffer(), V.U)))
         keep = pa.array(np.flatnonzero(ok))
         yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
@@ -164,65 +177,80 @@ def _set_check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class NearDuplicates:
     """The steps over one corpus; every table is written before the next one reads it."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch):
-        self.docs, self.id_col, self.text_col, self.scratch = docs, id_col, text_col, scratch
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, scratch: Scratch, small_bucket: int = SMALL_BUCKET):
+        self.docs, self.id_col, self.text_col, self.scratch, self.small_bucket = docs, id_col, text_col, scratch, small_bucket
 
     def nodes(self) -> None:
-        self.documents = self.scratch.cut(document_sets(self.docs, self.id_col, self.text_col), "documents")
-        d = self.documents.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles")
-        n = d.agg(F.min("doc_id").alias("label"), F.min(F.struct("doc_id", "row_key", "signature")).alias("x"))
-        self.node = self.scratch.cut(n.select(F.col("k1").alias("node"), "n_shingles", "label", F.col("x.row_key").alias("row_key"), F.col("x.signature").alias("signature")), "nodes")
-
-    def buckets(self) -> None:
+        heavy = self.scratch.cut(document_sets(self.docs, self.id_col, self.text_col), "documents")
+        full = heavy.where("n_shingles > 0")
+        n = full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("label"), F.min(F.struct("doc_id", "row_key"))["row_key"].alias("row_key"))
+        self.node = self.scratch.cut(n.select(F.col("k1").alias("node"), "n_shingles", "label", "row_key"), "nodes")
         bands = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("signature", 1 + 4 * ROWS * i, 4 * ROWS)) for i in range(BANDS)]))
-        in_bands = self.node.select("node", "label", bands.alias("bucket"))
-        heads = in_bands.groupBy("bucket").agg(F.min(F.struct("label", "node"))["node"].alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        heads = self.scratch.cut(heads, "heads")
-        self.members = self.scratch.cut(in_bands.select("bucket", "node").join(heads, "bucket"), "members")
+        in_bands = full.select(F.col("k1").alias("node"), F.col("doc_id").alias("label"), bands.alias("bucket"))
+        heads = in_bands.groupBy("bucket").agg(F.min(F.struct("label", "node"))["node"].alias("head"), F.min("node").alias("low"), F.max("node").alias("high"))
+        heads = self.scratch.cut(heads.where("low <> high").select("bucket", "head"), "heads")
+        self.members = self.scratch.cut(in_bands.select("bucket", "node").join(heads, "bucket").distinct(), "members")
+        # signatures and full sets of the nodes that have a candidate, one row of each
+        wanted = self.members.select(F.col("node").alias("w_node")).distinct().join(self.node.select(F.col("node").alias("w"), "row_key"), F.col("w_node") == F.col("w"))
+        wanted = self.scratch.cut(wanted.select("w_node", "row_key"), "wanted")
+        signed = narrowed(full.select(F.col("k1").alias("node"), "n_shingles", "row_key", "signature"), "row_key", wanted, "row_key").drop("row_key")
+        one = lambda df: df.join(wanted, F.col("node") == F.col("w_node"), "left_semi").dropDuplicates(["node"])
+        self.signature = self.scratch.cut(one(signed), "signatures")
+        texts = narrowed(self.docs.select(row_key(self.id_col, self.text_col), F.col(self.text_col).alias("text")), "row_key", wanted, "row_key")
+        self.sets = self.scratch.cut(one(full_sets(texts, "text")), "sets")
+        self.documents = self.scratch.cut(heavy.drop("signature", "k2"), "documents")
+        self.scratch.drop(heavy, heads)
 
     def signed(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of nodes that the sequential test leaves."""
         pairs = self.scratch.cut(pairs, "pairs")
-        x = self.node.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("signature").alias("s_a"))
-        y = self.node.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("signature").alias("s_b"))
-        both = pairs.join(x, "a").join(y, "b").where(sizes_fit(F.col("n_a"), F.col("n_b"))).select("a", "b", "s_a", "s_b")
+        side = lambda c: self.signature.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").where(sizes_fit(F.col("n_a"), F.col("n_b"))).select("a", "b", "s_a", "s_b")
         return both.mapInArrow(_signature_check, "a long, b long")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose full sets are similar enough. Sets are made anew, for nodes in pairs only."""
+        """Pairs whose full sets are similar enough."""
         pairs = self.scratch.cut(pairs, "survivors")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.node.select("node", "row_key"), "node")
-        wanted = self.scratch.cut(wanted, "wanted")
-        texts = self.docs.select(F.col(self.id_col), F.col(self.text_col)).withColumn("wanted_key", row_key(self.id_col, self.text_col))
-        texts = texts.join(wanted.select(F.col("row_key").alias("wanted_key")), "wanted_key", "left_semi").dropDuplicates(["wanted_key"])
-        sets = self.scratch.cut(full_sets(texts, self.id_col, self.text_col).join(wanted, "row_key").select("node", "members"), "sets")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("s_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("s_b")), "b")
-        links = self.scratch.cut(both.select("a", "b", "s_a", "s_b").mapInArrow(_set_check, "a long, b long"), "links")
-        self.scratch.drop(sets, wanted)
-        return links
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        sets = narrowed(self.sets, "node", nodes, "node")
+        side = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"s_{c}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b")
+        return self.scratch.cut(both.mapInArrow(_set_check, "a long, b long"), "links")
 
     def first_round(self) -> DataFrame:
-        m = self.members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-        return self.confirmed(self.signed(m))
-
-    def second_round(self, roots: DataFrame) -> DataFrame | None:
-        """roots: node, root. Pairs of different components in one bucket."""
+        """Links between members and the first member of a bucket; then, in buckets whose members are still apart, between
+        members and the one with most links so far, which is the likeliest centre of a group of copies."""
+        links = self.confirmed(self.signed(self.members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()))
+        degree = links.select(F.explode(F.array("a", "b")).alias("d_node")).groupBy("d_node").agg(F.count(F.lit(1)).alias("degree"))
+        m = self.apart(components(links, self.scratch))
+        ranked = m.join(self.scratch.cut(degree, "degrees"), F.col("node") == F.col("d_node"))
+        centre = self.scratch.cut(ranked.groupBy("bucket").agg(F.max(F.struct("degree", "node", "root")).alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.root").alias("c_root")), "centres")
+        again = m.join(centre, "bucket").where(F.col("root") != F.col("c_root")).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+        return self.scratch.cut(links.unionByName(self.confirmed(self.signed(again))), "links")
+
+    def apart(self, roots: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components: bucket, node, root, main (the root of most), n and n_main."""
         m = self.members.select("bucket", "node").join(roots.select(F.col("node").alias("in_node"), "root"), F.col("node") == F.col("in_node"), "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        counts = m.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.sum("count").alias("n"), F.count(F.lit(1)).alias("parts"), F.max("count").alias("n_main")).where("parts > 1")
-        counts = self.scratch.cut(counts, "open")
-        m = self.scratch.cut(m.join(counts.select("bucket", "main", "n", "n_main"), "bucket"), "open_members")
+        counts = m.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.sum("count").alias("n"), F.count(F.lit(1)).alias("parts"), F.max("count").alias("n_main"))
+        counts = self.scratch.cut(counts.where("parts > 1").drop("parts"), "open")
+        return self.scratch.cut(m.join(counts, "bucket"), "open_members")
+
+    def second_round(self, roots: DataFrame) -> DataFrame:
+        """Links between different components (roots: node, root) in one bucket."""
+        m = self.apart(roots)
         out = m.where(F.col("root") != F.col("main"))
         other = m.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("main").alias("main_b"))
         cross = (F.col("root") != F.col("root_b")) & ((F.col("root_b") == F.col("main_b")) | (F.col("node") < F.col("b")))
-        small = out.where(F.col("n") <= SMALL_BUCKET).join(other, "bucket").where(cross).select(F.col("node").alias("a"), "b").distinct()
-        pairs = self.signed(small)
-        if m.where(F.col("n") > SMALL_BUCKET).limit(1).count():
-            pairs = pairs.unionByName(self.in_blocks(m.where(F.col("n") > SMALL_BUCKET))).distinct()
-        return self.confirmed(pairs)
+        small = out.where(F.col("n") <= self.small_bucket).join(other, "bucket").where(cross).select(F.col("node").alias("a"), "b").distinct()
+        links = self.confirmed(self.signed(small))
+        large = m.where(F.col("n") > self.small_bucket)
+        return self.scratch.cut(links.unionByName(self.in_blocks(large)), "links") if large.limit(1).count() else links
 
     def in_blocks(self, m: DataFrame) -> DataFrame:
-        """Cross-component pairs of large buckets that survive the sequential test, found block by block."""
-        m = m.join(self.node.select(F.col("node").alias("n_node"), "n_shingles", "signature"), F.col("node") == F.col("n_node")).drop("n_node")
+        """Links across components in large buckets, found block by block; of the links of a node to one component in a block,
+        the first. A pair is looked at in the first band that it shares."""
+        m = m.join(self.signature.withColumnRenamed("node", "s_node"), F.col("node") == F.col("s_node")).drop("s_node")
+        m = m.join(self.sets.withColumnRenamed("node", "m_node"), F.col("node") == F.col("m_node")).drop("m_node")
         many = lambda n: F.ceil(n / BLOCK).cast("int")
         rows_n, cols_n = many(F.col("n") - F.col("n_main")), many(F.col("n"))
         own = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), n).cast("int")
@@ -230,22 +258,36 @@ class NearDuplicates:
         rows = m.where(F.col("root") != F.col("main")).withColumn("i", own(1, rows_n)).withColumn("j", upto(cols_n))
         cols = m.withColumn("j", own(2, cols_n)).withColumn("i", upto(rows_n))
         key = ["bucket", "i", "j"]
-        columns = [*key, "node", "root", "main", "n_shingles", "signature"]
+        columns = [*key, "node", "root", "main", "n_shingles", "signature", "members"]
 
         def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
             found = []
             if len(x) and len(y):
+                y.columns = columns
                 sx, sy = (np.frombuffer(b"".join(z["signature"]), "<u4").reshape(-1, _K) for z in (x, y))
                 node_y, root_y, size_y = (y[c].to_numpy() for c in ("node", "root", "n_shingles"))
+                sets_y = [np.frombuffer(s, V.U) for s in y["members"]]
                 main = y["main"].to_numpy() == root_y
+                shared = (sx[0].reshape(BANDS, ROWS) == sy[0].reshape(BANDS, ROWS)).all(axis=1)
+                for z in (sx, sy):
+                    shared &= (z.reshape(-1, BANDS, ROWS) == sx[0].reshape(BANDS, ROWS)).all(axis=2).all(axis=0)
+                band = int(np.argmax(shared))  # members of a bucket share its band; if they share several, the first will do
                 for i, r in enumerate(x.itertuples()):
                     fits = (root_y != r.root) & (main | (node_y > r.node)) & (100 * np.minimum(size_y, r.n_shingles) >= PERCENT * np.maximum(size_y, r.n_shingles))
                     at = np.flatnonzero(fits)
+                    if band:
+                        earlier = (sy[at, : band * ROWS] == sx[i, : band * ROWS]).reshape(-1, band, ROWS).all(axis=2).any(axis=1)
+                        at = at[~earlier]
                     at = at[pruned(np.broadcast_to(sx[i], (len(at), _K)), sy[at])]
-                    found += [(r.node, b) for b in node_y[at]]
+                    own_set, linked = np.frombuffer(r.members, V.U), set()
+                    for k in at:
+                        if root_y[k] not in linked and similar(own_set, sets_y[k]):
+                            linked.add(root_y[k])
+                            found.append((r.node, node_y[k]))
             return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-        return rows.select(*columns).groupBy(*key).cogroup(cols.select(*columns).groupBy(*key)).applyInPandas(compare, "a long, b long")
+        cols = cols.select(*[F.col(c).alias(f"{c}_y") for c in columns])  # both sides come from one table
+        return rows.select(*columns).groupBy(*key).cogroup(cols.groupBy(*[f"{c}_y" for c in key])).applyInPandas(compare, "a long, b long")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -274,12 +316,11 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return roots
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, small_bucket: int = SMALL_BUCKET) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept, and row_key (a digest of id and text) and node (of the set)."""
     scratch = scratch or Scratch(docs.sparkSession, "minhash")
-    s = NearDuplicates(docs, id_col, text_col, scratch)
+    s = NearDuplicates(docs, id_col, text_col, scratch, small_bucket)
     s.nodes()
-    s.buckets()
     links = s.first_round()
     roots = components(links, scratch)
     more = s.second_round(roots)
@@ -299,5 +340,16 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("row_key", "node")
 
 
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS shingle FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM k JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a AS doc_id, min(b) AS first FROM reach GROUP BY a)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(c.first, w.doc_id)) AS component_id, w.doc_id = least(w.doc_id, coalesce(c.first, w.doc_id)) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
 QUERIES = {"op1_minhash": op1_minhash}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_minhash": SQL}
