@@ -95,5 +95,29 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def oracle() -> str:
+    """The same in SQL: every window as text, counted within its document."""
+    spans = " UNION ALL ".join(f"SELECT {n} AS n, {most} AS most" for n, most in MAX_NGRAM_SHARE.items())
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT k, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+c AS (SELECT k, len(ws) AS n_words, coalesce(list_sum([length(x) FOR x IN ws]), 0) AS word_chars FROM w),
+p AS (SELECT k, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+spans AS ({spans}),
+g AS (SELECT k, n, i, array_to_string(ws[i:i + n - 1], ' ') AS gram FROM p JOIN spans ON i + n - 1 <= len(ws)),
+twice AS (SELECT k, n, unnest(starts) AS i FROM (SELECT k, n, gram, list(i) AS starts FROM g GROUP BY k, n, gram HAVING count(*) > 1)),
+inside AS (SELECT DISTINCT k, n, unnest(range(i, i + n)) AS i FROM twice),
+cover AS (SELECT inside.k, n, count(*) AS words, sum(length(ws[i])) AS chars FROM inside JOIN w ON w.k = inside.k GROUP BY inside.k, n),
+shares AS (SELECT c.k, s.n, s.most, coalesce(v.chars, 0) / CAST(greatest(word_chars, 1) AS DOUBLE) AS share, coalesce(v.words, 0) AS words FROM c CROSS JOIN spans s LEFT JOIN cover v ON v.k = c.k AND v.n = s.n),
+ngrams AS (SELECT k, max(share) AS worst, bool_or(share > most) AS bad, max(CASE WHEN n = 5 THEN words END) AS repeated, coalesce(arg_max(n, share * 1000 - n / 1e6) FILTER (share > 0), 0) AS worst_n FROM shares GROUP BY k),
+rows AS (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d),
+lines AS (SELECT k, line, count(*) AS times, any_value(coalesce(list_sum([length(x) FOR x IN regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')]), 0)) AS chars FROM rows WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY k, line),
+l AS (SELECT k, sum(times - 1) AS dup, coalesce(sum(times * chars) FILTER (times > 1), 0) AS dup_chars FROM lines GROUP BY k),
+f AS (SELECT d.doc_id, n_words, word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, repeated AS n_repeat_words, worst, worst_n, bad,
+  coalesce(dup_chars, 0) / CAST(greatest(word_chars, 1) AS DOUBLE) AS line_share, n_words < 10 OR 100 * repeated > 20 * n_words AS base_failed FROM d JOIN c USING (k) JOIN ngrams USING (k) LEFT JOIN l USING (k))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  base_failed, NOT (base_failed OR bad OR line_share > {MAX_LINE_SHARE}) AS kept, worst AS dup_ngram_share, line_share AS dup_line_share, CAST(worst_n AS INTEGER) AS worst_ngram FROM f"""
+
+
 QUERIES = {"op7_quality_rules": op7_quality_rules}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op7_quality_rules": oracle()}
