@@ -55,6 +55,16 @@ def parse_value(text: str) -> Value:
     return Value("string", n)
 
 
+def parse_like(text: str, kind: str) -> Value | None:
+    """A text as a value of a given kind, or None."""
+    try:
+        if kind == "boolean":
+            return Value(kind, {"true": True, "false": False}[text])
+        return Value(kind, {"string": str, "integer": int, "float": float}[kind](text))
+    except (ValueError, KeyError):
+        return None
+
+
 def show_double(d: Column | str) -> Column:
     """A double in the fewest digits that give it back, without an exponent or a trailing ``.0``."""
     d = _col(d)

@@ -82,11 +82,10 @@ def judged(log: DataFrame, present: DataFrame | None = None) -> DataFrame:
 def replay(entities: DataFrame, log: DataFrame) -> DataFrame:
     """The state after a log of valid operations (seq, op, entity_id, payload columns of ENTITY): the last operation of each
     entity wins; an entity's place is that of its first insert after its last removal, or the one it had."""
-    mine = W.partitionBy("entity_id").orderBy("seq")
-    all_mine = mine.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    last_removal = F.max(F.when(F.col("op") == "remove", F.col("seq"))).over(all_mine)
-    marked = log.withColumn("last_removal", last_removal).withColumn("inserted", F.min(F.when((F.col("op") == "insert") & ((F.col("seq") > F.col("last_removal")) | F.col("last_removal").isNull()), F.col("seq"))).over(W.partitionBy("entity_id")))
-    final = marked.withColumn("turn", F.row_number().over(W.partitionBy("entity_id").orderBy(F.desc("seq")))).where("turn = 1").drop("turn", "last_removal")
+    others = [c for c in log.columns if c != "entity_id"]
+    # in a valid log an entity's last insert is the first after its last removal; both sums combine before the shuffle
+    final = log.groupBy("entity_id").agg(F.max_by(F.struct(*others), "seq").alias("last"), F.max(F.when(F.col("op") == "insert", F.col("seq"))).alias("inserted"))
+    final = final.select("entity_id", "inserted", *[F.col(f"last.{c}").alias(c) for c in others])
     places = entities.select("entity_id", F.col("ord").alias("had"))
     end = entities.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("end"))
     alive = final.where("op <> 'remove'").join(places, "entity_id", "left").crossJoin(F.broadcast(end))  # one row

@@ -50,9 +50,10 @@ def typed_attributes(attributes: Column | str, infer_types: bool = False) -> Col
     return F.transform(attributes, one)
 
 
-def conform(entities: DataFrame) -> DataFrame:
-    """A frame with some of the columns of ENTITY as one with all of them; lists that lack are empty."""
+def conform(entities: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A frame with some of the columns of ENTITY as one with all of them; lists that lack are empty. keep: further columns,
+    which come first."""
     kinds = {"aliases": "array<string>", "tags": "array<string>", "attributes": TYPED, "relationships": RELATIONSHIPS, "sources": SOURCES}
     lists = [F.coalesce(F.col(c).cast(k), F.array().cast(k)).alias(c) if c in entities.columns else F.array().cast(k).alias(c) for c, k in kinds.items()]
     order = F.col("ord") if "ord" in entities.columns else F.col("entity_id")
-    return entities.select(F.col("entity_id").cast("bigint").alias("entity_id"), order.cast("bigint").alias("ord"), *lists)
+    return entities.select(*keep, F.col("entity_id").cast("bigint").alias("entity_id"), order.cast("bigint").alias("ord"), *lists)

@@ -127,6 +127,9 @@ class EntityStore:
         found = [int(n[2:]) for n in self.files.names(f"{self.root}/log") if n.startswith("b=") and self.files.exists(f"{self.root}/log/{n}/_SUCCESS")]
         return [b for b in found if b >= first]
 
+    def next_batch(self) -> int:
+        return max([*self._batches(), self._current()[1] - 1]) + 1
+
     # reading
 
     def snapshot(self) -> DataFrame:
@@ -159,11 +162,10 @@ class EntityStore:
 
     def _append(self, op: str, rows: DataFrame) -> None:
         """Sequence numbers are the batch's number and the place within it, so they grow from batch to batch."""
-        found = self._batches()
-        b = max([*found, self._current()[1] - 1]) + 1
+        b = self.next_batch()
         seq = (F.lit(b) * F.lit(1 << 40) + F.monotonically_increasing_id() % F.lit(1 << 40)) if op != "insert" else F.lit(b) * F.lit(1 << 40) + F.pmod(F.col("ord"), F.lit(1 << 40))
-        rows = conform(rows).withColumn("seq", seq.cast("bigint")).withColumn("op", F.lit(op))
-        rows.select("seq", "op", *[c for c in rows.columns if c not in ("seq", "op")]).write.mode("overwrite").parquet(f"{self.root}/log/b={b}")
+        rows = conform(rows)
+        rows.select(seq.cast("bigint").alias("seq"), F.lit(op).alias("op"), *rows.columns).write.mode("overwrite").parquet(f"{self.root}/log/b={b}")
 
     def insert(self, batch: DataFrame) -> None:
         if found := lifecycle._ids(lifecycle.existing(self.entities(), batch)):
@@ -198,7 +200,7 @@ class EntityStore:
         before = self.size()
         version, batches = self._current()[0], self._batches()
         self.entities().write.mode("overwrite").option("maxRecordsPerFile", per_file).parquet(f"{self.root}/snapshots/v={version + 1}")
-        self._point(version + 1, max([*batches, self._current()[1] - 1]) + 1)
+        self._point(version + 1, self.next_batch())
         for name in self.files.names(f"{self.root}/snapshots"):
             if name != f"v={version + 1}":
                 self.files.delete(f"{self.root}/snapshots/{name}")

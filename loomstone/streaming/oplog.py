@@ -1,7 +1,8 @@
 """Structured Streaming over operation logs: JSON operations in, batches of a store's log out.
 
-Every micro-batch is written under its own number before the next one starts; a micro-batch that runs again after a
-failure finds its number there and is left out, so each operation is applied once."""
+Every micro-batch becomes one batch of the log, whose number is noted first; a micro-batch that runs again after a failure
+finds that number, and writes that batch anew if it is incomplete and not at all otherwise. So each operation is applied
+once. A store has one writer at a time."""
 
 from __future__ import annotations
 
@@ -25,28 +26,29 @@ def as_log(operations: DataFrame) -> DataFrame:
     empty = F.array().cast("array<struct<key:string,value:string>>")
     lists = {c: F.col(f"payload.{c}") for c in LISTS} | {"attributes": typed_attributes(F.coalesce("payload.attributes", empty))}
     rows = operations.select("seq", "op", F.coalesce("entity_id", "payload.id").alias("entity_id"), F.col("seq").alias("ord"), *[v.alias(k) for k, v in lists.items()])
-    kept = conform(rows.drop("seq", "op"))
-    return rows.select("seq", "op", *[c for c in kept.columns]) if kept.dtypes == rows.select(*kept.columns).dtypes else rows
+    return conform(rows, keep=("seq", "op"))
 
 
 def apply(store: EntityStore, operations: DataFrame, checkpoint: str, rejected: str | None = None, available_now: bool = True) -> StreamingQuery:
     """Applies the valid operations of a stream to a store; the others go, with their error, to the folder ``rejected``."""
 
     def one(batch: DataFrame, number: int) -> None:
-        done = f"{store.root}/stream/n={number}"
-        if store.files.exists(done):
-            return
-        base = store.entities()
-        judged = lifecycle.judged(as_log(batch), base).persist()
+        # the number of the batch in the log is noted before it is written, so a repeated micro-batch writes the same one or none
+        note = f"{store.root}/stream/n={number}"
+        if store.files.exists(note):
+            b = int(store.files.read(note))
+            if b < store._current()[1] or b in store._batches():
+                return
+        else:
+            b = store.next_batch()
+            store.files.mkdirs(f"{store.root}/stream")
+            store.files.replace(note, str(b))
+        judged = lifecycle.judged(as_log(batch), store.entities()).persist()
         try:
             if rejected:
                 judged.where("error is not null").select("seq", "op", "entity_id", "error").write.mode("overwrite").parquet(f"{rejected}/n={number}")
-            found = store._batches()
-            b = max([*found, store._current()[1] - 1]) + 1
             good = judged.where("error is null").drop("error").withColumn("seq", F.lit(b) * F.lit(1 << 40) + F.col("seq"))
-            target = f"{store.root}/log/b={b}"
-            good.write.mode("overwrite").parquet(target)
-            store.files.mkdirs(done)
+            good.write.mode("overwrite").parquet(f"{store.root}/log/b={b}")
         finally:
             judged.unpersist()
 

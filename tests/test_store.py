@@ -138,6 +138,8 @@ def test_stream(spark, tmp_path):
     go()
     rows = {r["entity_id"]: r["aliases"] for r in EntityStore.open(spark, store.root).entities().collect()}
     assert rows == {2: ["Cola Light"], 70: ["Changed"]}
+    (tmp_path / "db" / "log" / f"b={store._batches()[-1]}" / "_SUCCESS").unlink()  # as if the last batch had not been finished
+    assert sorted(r["entity_id"] for r in store.entities().collect()) == [1, 2, 70]
     assert [(r["seq"], r["error"]) for r in spark.read.parquet(str(tmp_path / "bad/*")).collect()] == [(2, "EntityNotFound")]
 
 

@@ -1,5 +1,5 @@
 import pytest
-from loomstone.functions.text import Value, format_bytes, normalize, normalize_text, parse_value, show_double, split_tokens, tokens
+from loomstone.functions.text import Value, format_bytes, normalize, normalize_text, parse_like, parse_value, show_double, split_tokens, tokens
 from pyspark.sql import functions as F
 
 CASES = ["Sugar-Free", "  A  B ", " x ", "​x", "\tTab\u0085", "İ", "ÉCLAIR", "-5", "", "--", "a b", "ΑΣ"]
@@ -33,3 +33,8 @@ def test_show_double(spark):
 
 def test_format_bytes():
     assert [format_bytes(n) for n in (0, 1023, 1024, 1536, 5 << 20)] == ["0 B", "1023 B", "1.0 KB", "1.5 KB", "5.0 MB"]
+
+
+def test_parse_like():
+    assert parse_like("5", "integer") == Value("integer", 5) and parse_like("x", "integer") is None and parse_like("5", "string") == Value("string", "5")
+    assert parse_like("true", "boolean") == Value("boolean", True) and parse_like("yes", "boolean") is None and parse_like("1.5", "float") == Value("float", 1.5)
