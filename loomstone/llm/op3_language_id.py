@@ -98,24 +98,26 @@ def has_letter(b: V.Block) -> np.ndarray:
 
 def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 150) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss (mean over rows, classes weighing alike); weights and bias."""
-    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
+    y = y.astype(np.float32)
+    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
     centre = share @ x
-    z = np.column_stack((x - centre, np.ones(len(x))))
-    v = np.ones(z.shape[1])
+    z = np.ones((len(x), x.shape[1] + 1), np.float32)
+    np.subtract(x, centre, out=z[:, :-1])
+    v = np.ones(z.shape[1], np.float32)
     for _ in range(12):
         v = z.T @ (share * (z @ v))
         top = np.linalg.norm(v)
         v /= max(top, 1e-30)
-    rate = 1 / (1.05 * 2 * c * top + 1)
-    ridge = np.append(np.ones(x.shape[1]), 0.0)
-    w = u = np.zeros(z.shape[1])
+    rate = np.float32(1 / (1.05 * 2 * c * top + 1))
+    ridge = np.append(np.ones(x.shape[1], np.float32), np.float32(0))
+    w = u = np.zeros(z.shape[1], np.float32)
     t = 1.0
     for _ in range(steps):
         gap = np.maximum(0, 1 - y * (z @ u))
-        new = u - rate * (ridge * u - 2 * c * (z.T @ (share * y * gap)))
+        new = u - rate * (ridge * u - np.float32(2 * c) * (z.T @ (share * y * gap)))
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        u, w, t = new + (t - 1) / t2 * (new - w), new, t2
-    return w[:-1], float(w[-1] - w[:-1] @ centre)
+        u, w, t = new + np.float32((t - 1) / t2) * (new - w), new, t2
+    return w[:-1].astype(float), float(w[-1] - w[:-1] @ centre)
 
 
 @dataclass
