@@ -11,7 +11,7 @@ from loomstone.llm.common import Scratch
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Below this score a language is not believed.
+#: Below this score or this likeness a language is not believed.
 LEAST_SCORE = 0.25
 
 
@@ -19,7 +19,7 @@ LEAST_SCORE = 0.25
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that the labelled rows teach; rejects those without a letter and those whose language
-    is not believed. With nothing to learn from, it rejects only null texts and those without a letter."""
+    is not believed, as their letters are unlike those of the texts that teach it. With nothing to learn from, it rejects only null texts and those without a letter."""
     model = op3_language_id.train(docs.where(op3_language_id.crc_mod("doc_id", 4) != 2))
     return op3_language_id.keep_believed(docs, model, LEAST_SCORE)
 

@@ -12,6 +12,12 @@ whole texts.
 Defined results: a null text, or one without a letter, is ``und`` with score 0; with no labelled row every text is
 ``und``; with a single language every text is that one; rows are predicted one by one, so repeated rows agree; an empty
 table gives an empty result. Language codes without a known family are a family of their own.
+
+A score says which of the learned languages a text is, not whether it is one of them. ``Model.likeness`` says that:
+the mean log ratio of the text's n-grams in its language to n-grams dealt evenly over all features, as a share of the
+median that the language's training texts have (each against the others). It is about 1 for texts of the language, about
+0 or below for other scripts and random letters. Only letters count. A text without an n-gram and a language whose
+training texts are not alike (as where there is one only) give nothing to compare: then it is 1.
 """
 
 from __future__ import annotations
@@ -127,6 +133,8 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros((DIM, 0)))  # families first, then pairs
     bias: np.ndarray = field(default_factory=lambda: np.zeros(0))
     pairs: list[tuple[int, int]] = field(default_factory=list)
+    ratio: np.ndarray = field(default_factory=lambda: np.zeros((DIM, 0)))  # by language: log of a feature's share over an even one
+    typical: np.ndarray = field(default_factory=lambda: np.zeros(0))  # by language: median over training texts of their mean ratio
 
     @classmethod
     def fit(cls, rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
@@ -145,14 +153,29 @@ class Model:
         for a, b in pairs:
             own = (lang == a) | (lang == b)
             out.append(svm(x[own], np.where(lang[own] == a, 1.0, -1.0)))
-        return cls(langs, families, np.array([w for w, _ in out]).reshape(-1, DIM).T.copy(), np.array([b for _, b in out]), pairs)
-
-    def predict(self, b: V.Block) -> tuple[list[str], np.ndarray, list[str]]:
-        """Language, score and family of each document of a block."""
+        ratio, typical = np.zeros((DIM, len(langs))), np.zeros(len(langs))
+        for k in range(len(langs)):
+            share = x[lang == k].astype(float) ** 2
+            total = share.sum(axis=0) + 1 / DIM  # an even text besides
+            ratio[:, k] = np.log(total * DIM / (len(share) + 1))
+            typical[k] = np.median([r[r > 0] @ np.log((total - r)[r > 0] * DIM / len(share)) for r in share])
+        return cls(langs, families, np.array([w for w, _ in out]).reshape(-1, DIM).T.copy(), np.array([b for _, b in out]), pairs, ratio, typical)
+
+    def likeness(self, b: V.Block, found: tuple[np.ndarray, np.ndarray, np.ndarray], langs: list[str]) -> np.ndarray:
+        """How typical each document of a block, with these features, is of the language named for it; see the module."""
+        doc, index, value = found
+        at = {x: k for k, x in enumerate(self.langs)}
+        k = np.array([at.get(x, 0) for x in langs], int)
+        mean = np.bincount(doc, value**2 * self.ratio[index, k[doc]], b.docs)
+        judged = (np.bincount(doc, minlength=b.docs) > 0) & (self.typical[k] > 0)
+        return np.divide(mean, self.typical[k], out=np.ones(b.docs), where=judged)
+
+    def predict(self, b: V.Block, found: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[list[str], np.ndarray, list[str]]:
+        """Language, score and family of each document of a block. found: its features, if they are there already."""
         known = has_letter(b)
         if not self.langs:
             return [UNKNOWN] * b.docs, np.zeros(b.docs), [UNKNOWN] * b.docs
-        doc, index, value = features(b)
+        doc, index, value = features(b) if found is None else found
         m = np.empty((b.docs, len(self.bias)))
         for k in range(len(self.bias)):
             m[:, k] = np.bincount(doc, value * self.weights[index, k], b.docs) + self.bias[k]
@@ -212,17 +235,19 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_believed(docs: DataFrame, model: Model, least_score: float, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose language is known with at least this score (with a model that knows none: whose
-    text has a letter). A narrow map; rows move as Arrow batches."""
+    """The rows of docs, all columns, whose language is known with at least this score and this likeness (with a model that
+    knows none: whose text has a letter). A narrow map; rows move as Arrow batches."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for b in V.blocks(batch.column(at)):
-                keep.append(np.asarray(model.predict(b)[1]) >= least_score if model.langs else has_letter(b))
+                keep.append(has_letter(b))
                 if model.langs:
-                    keep[-1] &= has_letter(b)
+                    found = features(b)
+                    lang, score, _ = model.predict(b, found)
+                    keep[-1] &= (score >= least_score) & (model.likeness(b, found, lang) >= least_score)
             yield batch.take(pa.array(np.flatnonzero(np.concatenate(keep)))) if keep else batch
 
     return docs.mapInArrow(run, docs.schema)
