@@ -101,6 +101,12 @@ def m_insert(spark, d):
     return _named(lifecycle.insert(_digit(e, 0, 5), _digit(e, 6, 7)))
 
 
+def m_insert_whole(spark, d):
+    """All parts: some as the store, all others as the batch."""
+    e = _parts(spark, d)
+    return _named(lifecycle.insert(_digit(e, 0, 5), _digit(e, 6, 9)))
+
+
 def m_update(spark, d):
     e = _parts(spark, d)
     return _named(lifecycle.update(e, _renamed(_digit(e, 2, 3))))
@@ -127,20 +133,30 @@ def _sides(spark, d):
     return _digit(e, 0, 5), _renamed(_digit(e, 4, 9))
 
 
-def m_store(spark, d):
-    """A store built from parts; some updated and some removed, flushed, changed again, compacted, and opened anew."""
+def _stored(spark, d, last: int):
+    """A store built from parts; some updated and some removed, flushed, changed again (parts of digits 8 to last come in),
+    compacted, and opened anew."""
     e = _parts(spark, d)
     parent = scratch_dir(spark, "store")
     store = build(spark, _digit(e, 0, 7), parent, "parts")
     store.update(_renamed(_digit(e, 2, 3)))
     store.remove(_digit(e, 0, 0).select("entity_id"))
     store.flush()
-    store.insert(_digit(e, 8, 8))
+    store.insert(_digit(e, 8, last))
     store.compact()
     store.remove(_digit(e, 7, 7).select("entity_id"))
     return _named(EntityStore.open(spark, store.root).entities())
 
 
+def m_store(spark, d):
+    return _stored(spark, d, 8)
+
+
+def m_store_whole(spark, d):
+    """m_store over all parts."""
+    return _stored(spark, d, 9)
+
+
 def _single(query: str, signal: str) -> Callable:
     return lambda spark, d: search(corpus(spark, d), query, signals=(signal,), explain=False).select("entity_id", "name", "score")
 
@@ -166,6 +182,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "b_attr_ne_all": lambda s, d: lookups.attribute_differs(corpus(s, d), "size", Value("integer", 10)),
         "b_intersection": lambda s, d: counted(filters.intersection(filters.evaluate(corpus(s, d), parse_filter_expr("brand=Brand#2")), filters.evaluate(corpus(s, d), parse_filter_expr("size>=10")))),
         "b_not_strict": lambda s, d: filters.filter_search(corpus(s, d, "part"), "!brand=Brand#2", strict_not=True).select("entity_id"),
+        "b_not_strict_whole": lambda s, d: filters.filter_search(corpus(s, d), "!brand=Brand#2", strict_not=True).select("entity_id"),
         "l_prefix": lambda s, d: lookups.by_prefix(corpus(s, d), "blue"),
         "l_distance": lambda s, d: lookups.by_distance(corpus(s, d), "rad bolts", 2),
         "l_related": lambda s, d: lookups.related_to(corpus(s, d), 1003).select("entity_id", "kind"),
@@ -173,6 +190,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "registry_tags": lambda s, d: corpus(s, d).registry("tags"),
         "registry_keys": lambda s, d: corpus(s, d).registry("attribute_keys"),
         "m_insert": m_insert, "m_update": m_update, "m_remove": m_remove, "m_validate": m_validate, "m_replay": m_replay, "m_store": m_store,
+        "m_insert_whole": m_insert_whole, "m_store_whole": m_store_whole,
         "m_merge": lambda s, d: _named(lifecycle.merge(*_sides(s, d))),
         "m_merge_report": lambda s, d: lifecycle.merge_report(*_sides(s, d)),
     }
@@ -305,6 +323,7 @@ def oracle_sql() -> dict[str, str]:
         "b_attr_ne_all": f"{c} SELECT entity_id FROM av WHERE key = 'size' GROUP BY entity_id HAVING bool_and(i <> 10)",
         "b_intersection": f"{c} SELECT entity_id, CAST(2 AS BIGINT) AS n_signals FROM (SELECT entity_id FROM av WHERE key = 'brand' AND v = 'brand#2' INTERSECT SELECT entity_id FROM av WHERE key = 'size' AND i >= 10)",
         "b_not_strict": "SELECT 30000000 + p_partkey AS entity_id FROM part WHERE p_brand <> 'Brand#2'",
+        "b_not_strict_whole": f"{c} SELECT entity_id FROM ent ANTI JOIN (SELECT entity_id FROM av WHERE key = 'brand' AND vtype = 'string' AND v = 'brand#2') USING (entity_id)",
         "l_prefix": f"{c} SELECT DISTINCT entity_id FROM al WHERE starts_with(alias, 'blue')",
         "l_distance": f"{c} SELECT DISTINCT entity_id FROM al WHERE levenshtein(alias, 'rad bolts') <= 2",
         "l_related": f"{c} SELECT entity_id, kind FROM rel WHERE target = 1003",
@@ -319,6 +338,8 @@ def oracle_sql() -> dict[str, str]:
         "m_validate": f"WITH {OPERATIONS_SQL} SELECT * FROM checked",
         "m_replay": f"WITH {OPERATIONS_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY seq DESC) AS k FROM checked WHERE error = '') SELECT entity_id, 'user ' || seq AS name FROM f WHERE k = 1 AND op <> 'remove'",
         "m_store": f"WITH {PARTS_SQL} SELECT entity_id, CASE WHEN g IN (2, 3) THEN 'new ' || name ELSE name END AS name FROM p WHERE g BETWEEN 1 AND 8 AND g <> 7",
+        "m_insert_whole": f"WITH {PARTS_SQL} SELECT entity_id, name FROM p",
+        "m_store_whole": f"WITH {PARTS_SQL} SELECT entity_id, CASE WHEN g IN (2, 3) THEN 'new ' || name ELSE name END AS name FROM p WHERE g NOT IN (0, 7)",
         "m_merge": f"WITH {PARTS_SQL} SELECT entity_id, CASE WHEN g > 5 THEN 'new ' || name ELSE name END AS name FROM p",
         "m_merge_report": f"WITH {PARTS_SQL} SELECT count(*) AS entities_added, (SELECT count(*) FROM p WHERE g IN (4, 5)) AS entities_skipped FROM p",
     }
