@@ -177,7 +177,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "a_search": lambda s, d: flat(search(corpus(s, d), MANY, explain=False)),
         "a_explain": lambda s, d: explained(search(corpus(s, d), MANY)),
         "a_topk": lambda s, d: flat(search(corpus(s, d), "red", limit=10, explain=False)),
-        "a_batch": lambda s, d: flat(search(corpus(s, d, "part", "nation"), batch_queries(s, d), explain=False)).drop("name"),
+        "a_batch": lambda s, d: flat(search(corpus(s, d), batch_queries(s, d), explain=False)).drop("name"),
         "b_lookup": lambda s, d: filters.filter_search(corpus(s, d), "red bolt").select("entity_id", F.array_join("signals", ",").alias("signals")),
         "b_attr_ne_all": lambda s, d: lookups.attribute_differs(corpus(s, d), "size", Value("integer", 10)),
         "b_intersection": lambda s, d: counted(filters.intersection(filters.evaluate(corpus(s, d), parse_filter_expr("brand=Brand#2")), filters.evaluate(corpus(s, d), parse_filter_expr("size>=10")))),
