@@ -3,7 +3,9 @@
 A gear hash of the last 16 bytes (white space counts as a space) rolls over each text. A chunk ends after a word where
 that hash is the least among the words within ``REACH`` on either side; so where chunks end depends on some thirty
 bytes around only, and after an insertion the old chunks come back within a few words. Chunks have more than REACH
-words, about 2 * REACH + 1 on average. Each chunk's digest covers its words.
+words, about 2 * REACH + 1 on average. Where words repeat with a period of REACH or less, no hash is the least; there a
+chunk ends after every ``LONGEST`` words, counted from where the hashes begin to repeat; a text that is nothing
+else stays one chunk (and meets only texts equal to it). Each chunk's digest covers its words.
 
 The first chunk of a digest, in the order of (doc_id, digest of the row, place), stays; later ones are duplicates. Runs of
 consecutive duplicate chunks of ``LEAST_WORDS`` words or more in all are removed; shorter ones are what any two texts
@@ -29,6 +31,7 @@ from loomstone.llm import textvec as V
 from loomstone.llm.common import Scratch, table
 
 REACH = 3
+LONGEST = 16
 LEAST_WORDS = 16
 CHUNKS = "doc_id long, row_key long, place int, digest long, n_words int, begin_byte int, end_byte int"
 _GEAR = np.random.Generator(np.random.PCG64(65537)).integers(0, 2**32, 256, dtype=np.uint32)
@@ -58,6 +61,19 @@ def chunk_ends(b: V.Block, w: V.Spans, reach: int = REACH) -> np.ndarray:
             least[:d] = False
     last = w.at[1:][np.diff(w.at) > 0] - 1
     n = len(v)
+    again = np.zeros(n, bool)
+    for d in range(1, reach + 1):
+        if n > d:
+            again[d:] |= (doc[d:] == doc[:-d]) & (v[d:] == v[:-d])
+    if again.any():
+        whole = np.zeros(b.docs, bool)
+        for d in range(1, reach + 1):
+            if n > d:
+                whole |= V.per_doc(w.at, np.append(np.zeros(d, bool), (doc[d:] == doc[:-d]) & (w.hash[d:] != w.hash[:-d]))) == 0
+        again &= ~whole[doc]
+        place = np.arange(n)
+        run = place - np.maximum.accumulate(np.where(again, 0, place))  # words since the hashes began to repeat, 0 elsewhere
+        least[: max(n - reach, 0)] |= (run > 0)[: max(n - reach, 0)] & (run % LONGEST == 0)[: max(n - reach, 0)] & (run[reach:] > run[: max(n - reach, 0)])
     for d in range(reach):  # nor do the last ones: a chunk has more than reach words
         near = last - d
         least[near[near >= 0]] = False
