@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. The cluster names it in ``spark.checkpoint.dir``; only where that
     is unset (tests, one machine) a temporary one is made."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="loomstone-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -30,7 +33,13 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        self.at: dict[int, str] = {}
+        root, files = self._files(self.root)
+        files.mkdirs(root)
+        files.deleteOnExit(root)  # what is not dropped before goes when the driver ends
+
+    def _files(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def path(self, name: str = "t") -> str:
         self.n += 1
@@ -40,31 +49,61 @@ class Scratch:
         path = self.path(name)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.at[id(out)] = path
         out._loomstone_path = path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in frames:
             if path := getattr(df, "_loomstone_path", None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+                p, files = self._files(path)
+                files.delete(p, True)
+
+
+def row_keys(id_col: str = "doc_id", text_col: str = "text") -> list:
+    """A 128-bit digest of a row's id and text, as the columns row_key and row_key2."""
+    return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.xxhash64(F.lit("row_key2"), F.col(id_col), F.col(text_col)).alias("row_key2")]
+
+
+ROW = ["row_key", "row_key2"]
+
+
+def lean(run):
+    """A function of Arrow batches that, at its end, gives back the memory which allocators keep."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return wrapped
 
 
 def narrowed(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, most_bits: int = 25) -> DataFrame:
-    """The rows of a large frame whose key may be in wanted, without moving them: a bit map of hashed keys, of 2 ** most_bits
-    bits at most (a table of 8 MB), is broadcast. Some other rows pass too, so a join with wanted must follow; if wanted
-    is so large that the map is full, all pass and that join does the work."""
+    """The rows of a large frame whose key may be in wanted, without moving them; see ``parted``. A join with wanted must
+    follow; if wanted is so large that the map is full, all rows pass and that join does the work."""
+    return parted(rows, key, wanted, wanted_key, most_bits)[0]
+
+
+def parted(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, most_bits: int = 25) -> tuple[DataFrame, DataFrame]:
+    """The rows of a large frame whose key may be in wanted, and those whose key is surely not, without moving them: a bit
+    map of hashed keys, of 2 ** most_bits bits at most (a table of 8 MB), is broadcast."""
     n = wanted.count()
     bits = min(most_bits, max(16, (16 * n).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(F.lit(3), F.col(c)), F.lit(1 << bits))
     at = wanted.select(place(wanted_key).alias("p"))
     words = at.groupBy(F.shiftright("p", 6).alias("map_word")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("map_bits"))
     r = rows.withColumn("map_place", place(key)).withColumn("map_word_of", F.shiftright("map_place", 6))
-    hit = F.expr("(map_bits & shiftleft(1L, int(map_place & 63))) <> 0")
-    return r.join(F.broadcast(words), F.col("map_word_of") == F.col("map_word")).where(hit).select(*rows.columns)
+    hit = F.expr("coalesce((map_bits & shiftleft(1L, int(map_place & 63))) <> 0, false)")
+    some = r.join(F.broadcast(words), F.col("map_word_of") == F.col("map_word")).where(hit)
+    rest = r.join(F.broadcast(words), F.col("map_word_of") == F.col("map_word"), "left").where(~hit)
+    return some.select(*rows.columns), rest.select(*rows.columns)
+
+
+def any_row(df: DataFrame) -> bool:
+    return bool(df.take(1))
 
 
 def crc_mod(doc_id, n: int):

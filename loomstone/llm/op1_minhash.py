@@ -1,6 +1,7 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-A document's set is its distinct 5-word shingles. Documents with equal sets are one node. Every node has a signature of
+A document's set is its distinct 5-word shingles. Documents with equal sets (by a digest of 128 bits) are one node, which has
+a number of its own. Every node has a signature of
 128 minima, cut into 32 bands of 4; nodes that agree in a band are candidates (a pair at the threshold is missed with
 probability (1 - 0.75^4)^32, about 5e-6). A candidate's signatures are compared 32 minima at a time; after each batch the
 posterior of the similarity (uniform prior) decides, and a pair whose probability of reaching the threshold is below
@@ -17,7 +18,9 @@ written tables, so Spark can split their hot keys. Nothing is collected but coun
 
 Defined results: a text without words (or null) has an empty set, is linked with nothing and is its own component; with
 fewer words than five the whole sequence is the one shingle; repeated rows and rows that share an id are documents like
-others; a null id takes part, and is a component's id only where it has no other; an empty table gives an empty result.
+others; a null id takes part, and is a component's id only where it has no other; other columns are not looked at and may
+have any name; a very long text is hashed in pieces and takes memory for its words, some 60 bytes a word; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm import textvec as V
-from loomstone.llm.common import Scratch, narrowed, table
+from loomstone.llm.common import ROW, Scratch, any_row, lean, narrowed, row_keys, table
 
 WORDS = 5
 PERCENT = 75
@@ -44,15 +47,18 @@ SMALL_BUCKET = 64
 BLOCK = 512
 _K = BANDS * ROWS
 _FACTORS = np.random.Generator(np.random.PCG64(1009)).integers(0, 2**63, _K, dtype=V.U) * V.U(2) + V.U(1)
-SETS = "doc_id long, row_key long, n_shingles long, k1 long, k2 long, signature binary"
+SETS = "doc_id long, row_key long, row_key2 long, n_shingles long, k1 long, k2 long, signature binary"
 
 
 def shingle_sets(b: V.Block, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each document, ascending, one document after the other; and where each begins."""
-    data = V.lower_ascii(b.data)
-    w = V.words(b, data)
+    w = V.words(b, V.lower_ascii(b.data))
     count = np.diff(w.at)
     h, first = V.grams(w, n)
+    if b.docs == 1 and count[0] >= n:  # perhaps a very long text
+        del w, first
+        h = np.unique(h)
+        return h, np.array([0, len(h)])
     doc = w.doc[first] if len(first) else np.zeros(0, np.int64)
     short = np.flatnonzero((count > 0) & (count < n))
     if len(short):
@@ -89,16 +95,12 @@ def digests(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return V.mix(k1 + n.astype(V.U)), k2
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text"):
-    return F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key")
-
-
 def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document the size of its set, a 128-bit digest of it (k1, k2) and its signature (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in V.blocks(batch.column(2)):
+            for b in V.blocks(batch.column(3)):
                 h, at = shingle_sets(b)
                 n = np.diff(at)
                 full = n > 0
@@ -106,23 +108,21 @@ def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 s = iter(signatures(h, at))
                 signature = pa.array([next(s).astype("<u4").tobytes() if f else None for f in full], pa.binary())
                 part = batch.slice(b.first, b.docs)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), signature], ["doc_id", "row_key", "n_shingles", "k1", "k2", "signature"])
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(3)], pa.array(n.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), signature], ["doc_id", "row_key", "row_key2", "n_shingles", "k1", "k2", "signature"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SETS)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_keys(id_col, text_col), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), SETS)
 
 
-def full_sets(texts: DataFrame, text_col: str) -> DataFrame:
-    """node and the set itself (binary, ascending 64-bit hashes)."""
+def full_sets(texts: DataFrame) -> DataFrame:
+    """From node and text to node and the set itself (binary, ascending 64-bit hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in V.blocks(batch.column(0)):
+            for b in V.blocks(batch.column(1)):
                 h, at = shingle_sets(b)
-                full = np.flatnonzero(np.diff(at))
-                node = digests(h, at)[0][full].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([h[at[i] : at[i + 1]].tobytes() for i in full], pa.binary())], ["node", "members"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.docs), pa.array([h[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["node", "members"])
 
-    return texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "node long, members binary")
+    return texts.mapInArrow(lean(run), "node long, members binary")
 
 
 @lru_cache
@@ -181,24 +181,24 @@ class NearDuplicates:
         self.docs, self.id_col, self.text_col, self.scratch, self.small_bucket = docs, id_col, text_col, scratch, small_bucket
 
     def nodes(self) -> None:
+        """Documents with equal sets as one node, numbered where the table is written: equal numbers are equal sets."""
         heavy = self.scratch.cut(document_sets(self.docs, self.id_col, self.text_col), "documents")
-        full = heavy.where("n_shingles > 0")
-        n = full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("label"), F.min(F.struct("doc_id", "row_key"))["row_key"].alias("row_key"))
-        self.node = self.scratch.cut(n.select(F.col("k1").alias("node"), "n_shingles", "label", "row_key"), "nodes")
+        n = heavy.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("label"), F.min(F.struct(*ROW)).alias("row"), F.first("signature").alias("signature"))
+        self.node = self.scratch.cut(n.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "n_shingles", "label", "row.row_key", "row.row_key2", "signature"), "nodes")
         bands = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("signature", 1 + 4 * ROWS * i, 4 * ROWS)) for i in range(BANDS)]))
-        in_bands = full.select(F.col("k1").alias("node"), F.col("doc_id").alias("label"), bands.alias("bucket"))
-        heads = in_bands.groupBy("bucket").agg(F.min(F.struct("label", "node"))["node"].alias("head"), F.min("node").alias("low"), F.max("node").alias("high"))
-        heads = self.scratch.cut(heads.where("low <> high").select("bucket", "head"), "heads")
-        self.members = self.scratch.cut(in_bands.select("bucket", "node").join(heads, "bucket").distinct(), "members")
-        # signatures and full sets of the nodes that have a candidate, one row of each
-        wanted = self.members.select(F.col("node").alias("w_node")).distinct().join(self.node.select(F.col("node").alias("w"), "row_key"), F.col("w_node") == F.col("w"))
-        wanted = self.scratch.cut(wanted.select("w_node", "row_key"), "wanted")
-        signed = narrowed(full.select(F.col("k1").alias("node"), "n_shingles", "row_key", "signature"), "row_key", wanted, "row_key").drop("row_key")
-        one = lambda df: df.join(wanted, F.col("node") == F.col("w_node"), "left_semi").dropDuplicates(["node"])
-        self.signature = self.scratch.cut(one(signed), "signatures")
-        texts = narrowed(self.docs.select(row_key(self.id_col, self.text_col), F.col(self.text_col).alias("text")), "row_key", wanted, "row_key")
-        self.sets = self.scratch.cut(one(full_sets(texts, "text")), "sets")
-        self.documents = self.scratch.cut(heavy.drop("signature", "k2"), "documents")
+        in_bands = self.node.select("node", bands.alias("bucket"))
+        heads = in_bands.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("high"))
+        heads = self.scratch.cut(heads.where("head <> high").select("bucket", "head"), "heads")
+        self.members = self.scratch.cut(in_bands.join(heads, "bucket"), "members")
+        # full sets of the nodes that have a candidate, one row of each
+        wanted = self.members.select(F.col("node").alias("w_node")).distinct()
+        wanted = self.scratch.cut(self.node.drop("label").join(wanted, F.col("node") == F.col("w_node"), "left_semi"), "wanted")
+        self.signature = wanted.select("node", "n_shingles", "signature")
+        texts = narrowed(self.docs.select(*row_keys(self.id_col, self.text_col), F.col(self.text_col).cast("string").alias("text")), "row_key", wanted, "row_key")
+        texts = texts.join(wanted.select(*ROW, "node"), ROW).select("node", "text")
+        self.sets = self.scratch.cut(full_sets(texts).dropDuplicates(["node"]), "sets")
+        self.documents = self.scratch.cut(heavy.drop("signature"), "documents")
+        self.node = self.scratch.cut(self.node.drop("signature", "row_key", "row_key2"), "labelled")
         self.scratch.drop(heavy, heads)
 
     def signed(self, pairs: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ class NearDuplicates:
         pairs = self.scratch.cut(pairs, "pairs")
         side = lambda c: self.signature.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").where(sizes_fit(F.col("n_a"), F.col("n_b"))).select("a", "b", "s_a", "s_b")
-        return both.mapInArrow(_signature_check, "a long, b long")
+        return both.mapInArrow(lean(_signature_check), "a long, b long")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose full sets are similar enough."""
@@ -215,7 +215,7 @@ class NearDuplicates:
         sets = narrowed(self.sets, "node", nodes, "node")
         side = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"s_{c}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b")
-        return self.scratch.cut(both.mapInArrow(_set_check, "a long, b long"), "links")
+        return self.scratch.cut(both.mapInArrow(lean(_set_check), "a long, b long"), "links")
 
     def first_round(self) -> DataFrame:
         """Links between members and the first member of a bucket; then, in buckets whose members are still apart, between
@@ -238,13 +238,15 @@ class NearDuplicates:
     def second_round(self, roots: DataFrame) -> DataFrame:
         """Links between different components (roots: node, root) in one bucket."""
         m = self.apart(roots)
+        if not any_row(m):
+            return m.select(F.col("node").alias("a"), F.col("root").alias("b")).limit(0)
         out = m.where(F.col("root") != F.col("main"))
         other = m.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("main").alias("main_b"))
         cross = (F.col("root") != F.col("root_b")) & ((F.col("root_b") == F.col("main_b")) | (F.col("node") < F.col("b")))
         small = out.where(F.col("n") <= self.small_bucket).join(other, "bucket").where(cross).select(F.col("node").alias("a"), "b").distinct()
         links = self.confirmed(self.signed(small))
         large = m.where(F.col("n") > self.small_bucket)
-        return self.scratch.cut(links.unionByName(self.in_blocks(large)), "links") if large.limit(1).count() else links
+        return self.scratch.cut(links.unionByName(self.in_blocks(large)), "links") if any_row(large) else links
 
     def in_blocks(self, m: DataFrame) -> DataFrame:
         """Links across components in large buckets, found block by block; of the links of a node to one component in a block,
@@ -297,14 +299,14 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     is left, and the next turn works on those."""
     e = scratch.cut(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
     roots = scratch.cut(e.select(F.explode(F.array("hi", "lo")).alias("node")).distinct().withColumn("root", F.col("node")), "roots")
-    while e.limit(1).count():
+    while any_row(e):
         p = scratch.cut(e.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root")), "parents")
         while True:
             up = p.select(F.col("node").alias("up_node"), F.col("root").alias("up_root"))
             q = scratch.cut(p.join(up, F.col("root") == F.col("up_node"), "left").select("node", F.coalesce("up_root", "root").alias("root"), F.col("up_root").isNotNull().alias("moved")), "parents")
             scratch.drop(p)
             p = q
-            if not p.where("moved").limit(1).count():
+            if not any_row(p.where("moved")):
                 break
         p = p.select("node", "root")
         to = p.select(F.col("node").alias("was"), F.col("root").alias("becomes"))
@@ -317,27 +319,28 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, small_bucket: int = SMALL_BUCKET) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, kept, and row_key (a digest of id and text) and node (of the set)."""
+    """Per row of docs: doc_id, n_shingles, component_id, kept, and row_key and row_key2 (a digest of id and text) and root (a
+    number of the component; null for an empty set)."""
     scratch = scratch or Scratch(docs.sparkSession, "minhash")
     s = NearDuplicates(docs, id_col, text_col, scratch, small_bucket)
     s.nodes()
     links = s.first_round()
     roots = components(links, scratch)
     more = s.second_round(roots)
-    if more.limit(1).count():
+    if any_row(more):
         roots = components(links.unionByName(more), scratch)
     label = s.node.select("node", "label").join(roots, "node").groupBy("root").agg(F.min("label").alias("component_id"))
     label = scratch.cut(label, "labels")
-    of = roots.select("node", F.col("root").alias("of")).join(label, F.col("of") == F.col("root")).select("node", "component_id")
-    of = s.node.select(F.col("node").alias("k1"), "label").join(of.withColumnRenamed("node", "in_node"), F.col("k1") == F.col("in_node"), "left").select(F.col("k1").alias("of_node"), F.coalesce("component_id", "label").alias("component_id"))
-    of = scratch.cut(of, "of")
-    d = s.documents.select("doc_id", "n_shingles", "row_key", F.when(F.col("n_shingles") > 0, F.col("k1")).alias("node"))
-    out = d.join(of, F.col("node") == F.col("of_node"), "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row_key", "node")
+    of = roots.select("node", F.col("root").alias("of")).join(label, F.col("of") == F.col("root")).select(F.col("node").alias("in_node"), "root", "component_id")
+    of = s.node.join(of, F.col("node") == F.col("in_node"), "left").select("k1", "k2", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "label").alias("component_id"))
+    of = scratch.cut(of, "of").withColumnsRenamed({"k1": "of_k1", "k2": "of_k2"})
+    out = s.documents.join(of, (F.col("n_shingles") > 0) & (F.col("k1") == F.col("of_k1")) & (F.col("k2") == F.col("of_k2")), "left")
+    out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *ROW, "root")
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("row_key", "node")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop(*ROW, "root")
 
 
 SQL = r"""

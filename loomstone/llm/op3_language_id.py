@@ -5,13 +5,14 @@ as space). A linear support vector machine per language family, one against the
 linear support vector machines one-versus-one between its languages vote. Squared hinge loss, solved here by
 accelerated gradients.
 
-Learning takes at most ``per_language`` labelled texts of each language (chosen by a digest of the id) and at most
-``most_rows`` in all; only their hashed features, of bounded size, come to the driver. Scoring is a narrow map over
-whole texts.
+Learning takes at most ``per_language`` different labelled rows of each language (chosen by a digest of id and text), of
+the ``most_languages`` most frequent languages, and at most ``most_rows`` in all; only their hashed features, of bounded size,
+come to the driver. Scoring is a narrow map over whole texts, read in pieces, so memory does not grow with a text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; with no labelled row every text is
-``und``; with a single language every text is that one; rows are predicted one by one, so repeated rows agree; an empty
-table gives an empty result. Language codes without a known family are a family of their own.
+``und``; with a single language every text is that one; rows are predicted one by one, so repeated rows agree; in
+learning, rows equal in id and text count once and others with an equal or no id are apart; other columns are not looked at
+and may have any name; an empty table gives an empty result. Language codes without a known family are a family of their own.
 
 A score says which of the learned languages a text is, not whether it is one of them. ``Model.likeness`` says that:
 the mean log ratio of the text's n-grams in its language to n-grams dealt evenly over all features, as a share of the
@@ -29,14 +30,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomstone.llm import textvec as V
-from loomstone.llm.common import crc_mod, table
+from loomstone.llm.common import crc_mod, lean, table
 
 DIM = 4096
 PER_LANGUAGE = 600
 MOST_ROWS = 4000
+MOST_LANGUAGES = 400
 SLOPE = 4.0
 UNKNOWN = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, family string"
@@ -59,6 +62,7 @@ FAMILIES = {
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
+_HIGH = np.arange(256) >= 128
 _CLEAN = np.arange(256, dtype=np.uint8)
 _CLEAN[:128][~_LETTER[:128]] = 32
 _CLEAN[65:91] += 32
@@ -70,35 +74,42 @@ def family_of(lang: str) -> str:
 
 def features(b: V.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a block: document, feature and value of every feature that is not 0. The squares of a document's values sum to 1."""
-    x = _CLEAN[b.data].astype(np.uint32)
-    of = np.repeat(np.arange(b.docs, dtype=np.int64), np.diff(b.at))
-    keys = []
-    for n in (2, 3):
-        if len(x) < n:
-            continue
-        h = np.uint32(n)
-        for j in range(n):
-            h = h * np.uint32(0x01000193) ^ x[j : len(x) - n + 1 + j] if j else x[: len(x) - n + 1] ^ np.uint32(0x9E3779B1 * n & 0xFFFFFFFF)
-        h = h * np.uint32(0x85EBCA6B)
-        h ^= h >> np.uint32(15)
-        solid = (of[: len(h)] == of[n - 1 :]) & ~((x[: len(h)] == 32) & (x[1 : len(h) + 1] == 32))
-        keys.append(of[: len(h)][solid] * DIM + (h[solid] & np.uint32(DIM - 1)))
-    key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-    if b.docs * DIM <= 4 << 20:
-        count = np.bincount(key, minlength=b.docs * DIM)
-        key = np.flatnonzero(count)
-        count = count[key]
-    else:
-        key, count = np.unique(key, return_counts=True)
+    n = len(b.data)
+    if b.docs * DIM > 4 << 20 and b.docs > 1:  # many short texts
+        half = b.docs // 2
+        parts = [V.Block(b.first + i, b.data[b.at[i] : b.at[j]], b.at[i : j + 1] - b.at[i]) for i, j in ((0, half), (half, b.docs))]
+        (d0, k0, v0), (d1, k1, v1) = map(features, parts)
+        return np.concatenate((d0, d1 + half)), np.concatenate((k0, k1)), np.concatenate((v0, v1))
+    count = np.zeros(b.docs * DIM, np.uint32)
+    for s in range(0, n, V.PIECE):
+        e = min(n, s + V.PIECE)
+        x = _CLEAN[b.data[s : e + 2]].astype(np.uint32)  # an n-gram begins in the piece and may end behind it
+        d0, d1 = int(np.searchsorted(b.at, s, "right")) - 1, int(np.searchsorted(b.at, min(n, e + 2), "left"))
+        of = np.repeat(np.arange(d0, d1, dtype=np.int32), np.diff(np.clip(b.at[d0 : d1 + 1], s, min(n, e + 2))))
+        for k in (2, 3):
+            m = min(e - s, len(x) - k + 1)
+            if m <= 0:
+                continue
+            h = x[:m] ^ np.uint32(0x9E3779B1 * k & 0xFFFFFFFF)
+            for j in range(1, k):
+                h = h * np.uint32(0x01000193) ^ x[j : m + j]
+            h = h * np.uint32(0x85EBCA6B)
+            h ^= h >> np.uint32(15)
+            solid = (of[:m] == of[k - 1 : m + k - 1]) & ~((x[:m] == 32) & (x[1 : m + 1] == 32))
+            key = of[:m][solid] * np.int32(DIM) + (h[solid] & np.uint32(DIM - 1)).astype(np.int32)
+            count += np.bincount(key, minlength=len(count)).astype(np.uint32)
+    key = np.flatnonzero(count)
+    count = count[key]
     doc = key // DIM
     total = np.bincount(doc, count, b.docs)
     return doc, key % DIM, np.sqrt(count / total[doc])
 
 
 def has_letter(b: V.Block) -> np.ndarray:
-    found = V.per_doc(b.at, _LETTER[b.data]) > 0
-    for i in np.flatnonzero(~found & (V.per_doc(b.at, b.data >= 128) > 0)):
-        found[i] = any(c.isalpha() for c in b.data[b.at[i] : b.at[i + 1]].tobytes().decode("utf-8", "replace"))
+    found = V.byte_counts(b, _LETTER) > 0
+    for i in np.flatnonzero(~found & (V.byte_counts(b, _HIGH) > 0)):
+        raw = b.data[b.at[i] : b.at[i + 1]].tobytes()
+        found[i] = any(c.isalpha() for c in raw.decode("utf-8", "replace"))
     return found
 
 
@@ -198,15 +209,22 @@ class Model:
         return [self.langs[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)], score, [self.families[f] if ok else UNKNOWN for f, ok in zip(best_f, known, strict=True)]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> Model:
-    """Learns from the labelled rows of docs; see the module on the bounds."""
-    d = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in d.groupBy(lang_col).count().collect()}
-    if not counts:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS, most_languages: int = MOST_LANGUAGES) -> Model:
+    """Learns from the labelled rows of docs; see the module on the bounds, which hold for every input.
+
+    Per language, rows count once for each different pair of id and text. About twice as many of these as are wanted pass a
+    threshold on a digest, those of a task are made one before they are moved, and the smallest digests are taken."""
+    d = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.lit(17), id_col, text_col).alias("digest")
+    )
+    common = d.groupBy("lang").agg(F.approx_count_distinct("digest").alias("different"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(min(most_languages, most_rows)).collect()
+    if not common:
         return Model()
-    per = min(per_language, max(1, most_rows // len(counts)))
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, per / n))])
-    drawn = F.pmod(F.xxhash64(F.lit(17), id_col), F.lit(1 << 30)) < share[F.col(lang_col)] * F.lit(float(1 << 30))
+    per = min(per_language, most_rows // len(common))
+    share = F.create_map(*[F.lit(v) for r in common for v in (r["lang"], min(1.0, (2 * per + 100) / max(r["different"], 1)))])
+    passed = F.pmod(F.xxhash64(F.lit(18), "digest"), F.lit(1 << 30)) < share[F.col("lang")] * F.lit(float(1 << 30))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("digest"))
+    drawn = d.where(passed).groupBy("lang", "digest").agg(F.first("text").alias("text")).withColumn("rank", rank).where(F.col("rank") <= per).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +235,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     [batch.column(0).slice(b.first, b.docs), pa.array([x.astype("<u2").tobytes() for x in np.split(index, cut)]), pa.array([x.astype("<f4").tobytes() for x in np.split(value, cut)])], ["lang", "index", "value"]
                 )
 
-    rows = d.where(drawn).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(run, "lang string, index binary, value binary").collect()
+    rows = drawn.mapInArrow(lean(run), "lang string, index binary, value binary").collect()
     return Model.fit([(r[0], np.frombuffer(r[1], "<u2").astype(int), np.frombuffer(r[2], "<f4")) for r in sorted(rows, key=lambda r: (r[0], bytes(r[1]), bytes(r[2])))])
 
 
@@ -228,29 +246,33 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for b in V.blocks(batch.column(2)):
                 lang, score, family = model.predict(b)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.docs), batch.column(1).slice(b.first, b.docs), pa.array(lang), pa.array(score), pa.array(family)], ["doc_id", "held_out", "lang_pred", "score", "family"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.docs), batch.column(1).slice(b.first, b.docs), pa.array(lang, pa.string()), pa.array(score), pa.array(family, pa.string())], ["doc_id", "held_out", "lang_pred", "score", "family"])
 
     held_out = crc_mod(id_col, 4) == 2
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
 def keep_believed(docs: DataFrame, model: Model, least_score: float, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose language is known with at least this score and this likeness (with a model that
-    knows none: whose text has a letter). A narrow map; rows move as Arrow batches."""
-    at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for b in V.blocks(batch.column(at)):
-                keep.append(has_letter(b))
+    knows none: whose text has a letter). A filter: only texts go to Python, and only a verdict comes back."""
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("boolean")
+    def believed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in texts:
+            keep = [np.zeros(0, bool)]
+            for b in V.blocks(part):
                 if model.langs:
                     found = features(b)
                     lang, score, _ = model.predict(b, found)
-                    keep[-1] &= (score >= least_score) & (model.likeness(b, found, lang) >= least_score)
-            yield batch.take(pa.array(np.flatnonzero(np.concatenate(keep)))) if keep else batch
-
-    return docs.mapInArrow(run, docs.schema)
+                    keep.append((np.array(lang) != UNKNOWN) & (score >= least_score) & (model.likeness(b, found, lang) >= least_score))
+                else:
+                    keep.append(has_letter(b))
+            yield pa.array(np.concatenate(keep))
+            del part
+            pa.default_memory_pool().release_unused()
+
+    return docs.where(believed(F.col(text_col).cast("string")))
 
 
 def identify(docs: DataFrame) -> DataFrame:

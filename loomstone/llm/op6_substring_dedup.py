@@ -5,7 +5,8 @@ that hash is the least among the words within ``REACH`` on either side; so where
 bytes around only, and after an insertion the old chunks come back within a few words. Chunks have more than REACH
 words, about 2 * REACH + 1 on average. Where words repeat with a period of REACH or less, no hash is the least; there a
 chunk ends after every ``LONGEST`` words, counted from where the hashes begin to repeat; a text that is nothing
-else stays one chunk (and meets only texts equal to it). Each chunk's digest covers its words.
+else stays one chunk (and meets only texts equal to it). Each chunk's digest, of 128 bits, covers its words. Rows equal
+in id and text are made one before they are cut into chunks.
 
 The first chunk of a digest, in the order of (doc_id, digest of the row, place), stays; later ones are duplicates. Runs of
 consecutive duplicate chunks of ``LEAST_WORDS`` words or more in all are removed; shorter ones are what any two texts
@@ -14,7 +15,8 @@ and they meet the chunks in a join whose hot keys Spark can split; so a passage
 stays with no one task.
 
 Defined results: null and empty texts have no chunk and stay as they are; rows equal in id and text count as one
-document; rows that share an id but not a text are apart; ties have the order above; an empty table gives none.
+document; rows that share an id but not a text are apart; ties have the order above; other columns are kept apart by
+name; a very long text takes memory for its words, some 60 bytes a word; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -28,29 +30,38 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomstone.llm import textvec as V
-from loomstone.llm.common import Scratch, table
+from loomstone.llm.common import ROW, Scratch, any_row, lean, parted, row_keys, table
 
 REACH = 3
 LONGEST = 16
 LEAST_WORDS = 16
-CHUNKS = "doc_id long, row_key long, place int, digest long, n_words int, begin_byte int, end_byte int"
+CHUNKS = "doc_id long, row_key long, row_key2 long, place int, digest long, digest2 long, n_words int, begin_byte int, end_byte int"
+DIGEST = ["digest", "digest2"]
+_OTHER = V.U(0xC2B2AE3D27D4EB4F)
 _GEAR = np.random.Generator(np.random.PCG64(65537)).integers(0, 2**32, 256, dtype=np.uint32)
 _CLEAN = np.where(V.SPACE, 32, np.arange(256)).astype(np.uint8)
 
 
-def gear(b: V.Block) -> np.ndarray:
-    """The rolling hash after each byte: the sum of the last 16 bytes' values, each shifted by its distance."""
-    h = _GEAR[_CLEAN[b.data]]
-    within = np.arange(len(h)) - np.repeat(b.at[:-1], np.diff(b.at))
-    for step in (1, 2, 4, 8):
-        if step < len(h):
-            h[step:] += np.where(within[step:] >= step, h[:-step] << np.uint32(step), 0).astype(np.uint32)
-    return h
+def gear(b: V.Block, places: np.ndarray) -> np.ndarray:
+    """The rolling hash after each of these bytes (ascending): the sum of the last 16 bytes' values, each shifted by its distance."""
+    out = np.zeros(len(places), np.uint32)
+    for s in range(0, len(b.data), V.PIECE):
+        e = min(len(b.data), s + V.PIECE)
+        i, j = np.searchsorted(places, (s, e), "left")
+        low = max(0, s - 15)
+        h = _GEAR[_CLEAN[b.data[low:e]]]
+        d0, d1 = int(np.searchsorted(b.at, low, "right")) - 1, int(np.searchsorted(b.at, e, "left"))
+        within = np.arange(low, e) - np.repeat(b.at[d0:d1], np.diff(np.clip(b.at[d0 : d1 + 1], low, e)))
+        for step in (1, 2, 4, 8):
+            if step < len(h):
+                h[step:] += np.where(within[step:] >= step, h[:-step] << np.uint32(step), 0).astype(np.uint32)
+        out[i:j] = h[places[i:j] - low]
+    return out
 
 
 def chunk_ends(b: V.Block, w: V.Spans, reach: int = REACH) -> np.ndarray:
     """Whether a chunk ends after each word. The last word of a document ends one."""
-    v = gear(b)[w.end - 1] * np.uint32(0x9E3779B1) if len(w.end) else np.zeros(0, np.uint32)
+    v = gear(b, w.end - 1) * np.uint32(0x9E3779B1)
     doc = w.doc
     least = np.ones(len(v), bool)
     for d in range(1, reach + 1):
@@ -83,19 +94,23 @@ def chunk_ends(b: V.Block, w: V.Spans, reach: int = REACH) -> np.ndarray:
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
     """One row per chunk of every text."""
+    text = F.col(text_col).cast("string")
+    return _chunks(docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_keys(id_col, text_col), text.alias("text")), reach)
+
 
+def _chunks(rows: DataFrame, reach: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in V.blocks(batch.column(2)):
+            for b in V.blocks(batch.column(3)):
                 w = V.words(b)
-                if not len(w.hash):
+                n = len(w.hash)
+                if not n:
                     continue
                 end = np.flatnonzero(chunk_ends(b, w, reach)) + 1
                 begin = np.concatenate(([0], end[:-1]))
                 doc = w.doc[begin]
-                powers, inverse = V._grown(len(w.hash) + 1)
-                sums = np.concatenate((np.zeros(1, V.U), np.cumsum(w.hash * powers[: len(w.hash)])))
-                digest = V.mix((sums[end] - sums[begin]) * inverse[begin])
+                digest = V.span_hashes(lambda i, j: w.hash[i:j], n, begin, end)  # noqa: B023
+                digest2 = V.span_hashes(lambda i, j: V.mix(w.hash[i:j] ^ _OTHER), n, begin, end)  # noqa: B023
                 first = np.searchsorted(doc, np.arange(b.docs), "left")
                 place = np.arange(len(doc)) - first[doc]
                 last = np.append(doc[1:] != doc[:-1], True)
@@ -103,32 +118,41 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reac
                 head = place == 0
                 begin_byte = np.where(head, b.at[doc], w.begin[begin]) - b.at[doc]
                 end_byte = np.where(last, b.at[doc + 1], following) - b.at[doc]
-                rows = pa.array(doc)
+                taken = pa.array(doc)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(b.first, b.docs).take(rows), batch.column(1).slice(b.first, b.docs).take(rows), pa.array(place, pa.int32()), pa.array(digest.view(np.int64)),
+                    *[batch.column(k).slice(b.first, b.docs).take(taken) for k in range(3)], pa.array(place, pa.int32()), pa.array(digest.view(np.int64)), pa.array(digest2.view(np.int64)),
                     pa.array(end - begin, pa.int32()), pa.array(begin_byte, pa.int32()), pa.array(end_byte, pa.int32()),
-                ], ["doc_id", "row_key", "place", "digest", "n_words", "begin_byte", "end_byte"])
+                ], ["doc_id", "row_key", "row_key2", "place", "digest", "digest2", "n_words", "begin_byte", "end_byte"])
 
-    text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col), text.alias("text")).where(F.length("text") > 0).mapInArrow(run, CHUNKS)
+    return rows.where(F.length("text") > 0).mapInArrow(lean(run), CHUNKS)
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text"):
-    return F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key")
+    return row_keys(id_col, text_col)[0]
+
+
+def once(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """doc_id, row_key, row_key2 and text of docs, rows equal in id and text once. Only rows that may have an equal one are
+    moved, after those of a task were made one."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_keys(id_col, text_col), F.col(text_col).cast("string").alias("text"))
+    again = scratch.cut(rows.groupBy(*ROW).count().where("count > 1").select("row_key"), "again")
+    if not any_row(again):
+        return rows
+    some, rest = parted(rows, "row_key", again, "row_key")
+    return rest.unionByName(some.dropDuplicates(ROW))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, least_words: int = LEAST_WORDS, scratch: Scratch | None = None) -> DataFrame:
-    """The spans to remove: doc_id, row_key, begin_byte, end_byte, n_words, n_chunks, and first_doc_id, where the first
-    chunk of the span occurs first."""
+    """The spans to remove: doc_id, row_key and row_key2, begin_byte, end_byte, n_words, n_chunks, and first_doc_id, where
+    the first chunk of the span occurs first."""
     scratch = scratch or Scratch(docs.sparkSession, "substrings")
-    c = scratch.cut(chunks(docs, id_col, text_col, reach), "chunks")
-    here = F.struct("doc_id", "row_key", "place")
-    first = c.groupBy("digest").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    c = scratch.cut(_chunks(once(docs, id_col, text_col, scratch), reach), "chunks")
+    here = F.struct("doc_id", *ROW, "place")
+    first = c.groupBy(*DIGEST).agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*DIGEST, "first")
     first = scratch.cut(first, "first")
-    later = c.join(first, "digest").where(here > F.col("first"))
-    order = W.partitionBy("doc_id", "row_key").orderBy("place")
-    runs = later.withColumn("run", F.col("place") - F.dense_rank().over(order)).groupBy("doc_id", "row_key", "run", "place").agg(*[F.first(x).alias(x) for x in ("begin_byte", "end_byte", "n_words", "first")])
-    spans = runs.groupBy("doc_id", "row_key", "run").agg(
+    later = c.join(first, DIGEST).where(here > F.col("first"))
+    runs = later.withColumn("run", F.col("place") - F.row_number().over(W.partitionBy("doc_id", *ROW).orderBy("place")))
+    spans = runs.groupBy("doc_id", *ROW, "run").agg(
         F.min("begin_byte").alias("begin_byte"), F.max("end_byte").alias("end_byte"), F.sum("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_chunks"),
         F.min(F.struct("place", "first"))["first"]["doc_id"].alias("first_doc_id"),
     )
@@ -137,9 +161,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the spans cut out of their texts; all rows and columns stay."""
-    cuts = spans.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("begin_byte", "end_byte"))).alias("cuts"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), row_key(id_col, text_col))
-    joined = rows.join(cuts.withColumnRenamed("row_key", "cut_key"), F.col("row_key") == F.col("cut_key"), "left")
+    cuts = spans.groupBy(*ROW).agg(F.array_sort(F.collect_set(F.struct("begin_byte", "end_byte"))).alias("cuts"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *row_keys(id_col, text_col))
+    joined = rows.join(cuts, ROW, "left")
     # between cuts, from the end of one to the beginning of the next, in bytes
     whole = F.col("row")[text_col]
     raw = whole.cast("binary")
@@ -151,7 +175,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(table(spark, sf_dir, "documents")).drop("row_key")
+    return repeated_spans(table(spark, sf_dir, "documents")).drop(*ROW)
 
 
 QUERIES = {"op6_substring_dedup": op6_substring_dedup}

@@ -7,7 +7,8 @@ base rules hold.
 
 Defined results: a null or empty text has no words, fails the base rule on length and is not kept; repeated rows get
 one row each; a document's result depends on nothing else. Columns of the input other than id and text are ignored.
-The work is a narrow map: no shuffle, memory bounded by one Arrow batch and about a megabyte of text (or the longest text).
+The work is a narrow map: no shuffle, memory bounded by one Arrow batch and a quarter of a megabyte of text (or the words of the
+longest text: some 120 bytes a word).
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from loomstone.llm.common import table
 MAX_NGRAM_SHARE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 MAX_LINE_SHARE = 0.20
 SYMBOLS = "#*$%&|<>"
+_SYMBOL = np.isin(np.arange(256), list(SYMBOLS.encode()))
+_POINT = (np.arange(256) & 0xC0) != 0x80  # a character's first byte
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, kept boolean, dup_ngram_share double, dup_line_share double, worst_ngram int"
@@ -35,16 +38,12 @@ SCHEMA = (
 
 def measure(b: V.Block, ngram_share: dict[int, float], line_share: float) -> dict[str, np.ndarray]:
     """The figures of each document of a block."""
-    p = V.prefix_sums(b.data)
-    w = V.words(b, p=p)
+    w = V.words(b)
     n_words = np.diff(w.at)
-    points = np.concatenate(([0], np.cumsum((b.data & 0xC0) != 0x80)))
-    chars = points[w.end] - points[w.begin]
+    chars = V.span_counts(lambda i, j: _POINT[b.data[i:j]], len(b.data), w.begin, w.end)
     word_chars = V.per_doc(w.at, chars)
     doc = w.doc
     salt = V.mix(np.arange(b.docs, dtype=V.U) + V.U(1))
-    symbol = np.zeros(256, bool)
-    symbol[list(SYMBOLS.encode())] = True
     bad = np.zeros(b.docs, bool)
     worst, worst_n, repeat5 = np.zeros(b.docs), np.zeros(b.docs, np.int32), np.zeros(b.docs, np.int64)
     for n in sorted({5, *ngram_share}):
@@ -59,7 +58,7 @@ def measure(b: V.Block, ngram_share: dict[int, float], line_share: float) -> dic
             bad |= share > ngram_share[n]
             worst_n = np.where(share > worst, n, worst_n).astype(np.int32)
             worst = np.maximum(worst, share)
-    row = V.lines(b, p)
+    row = V.lines(b)
     k0, k1 = np.searchsorted(w.begin, row.begin, "left"), np.searchsorted(w.begin, row.end, "left")
     full = k1 > k0
     of = row.doc
@@ -71,7 +70,7 @@ def measure(b: V.Block, ngram_share: dict[int, float], line_share: float) -> dic
     in_lines = np.bincount(of[full], np.where(twice, line_chars, 0), b.docs) / np.maximum(word_chars, 1)
     base_failed = (n_words < 10) | (100 * repeat5 > 20 * n_words)
     return {
-        "n_words": n_words, "word_chars": word_chars, "n_symbols": V.per_doc(b.at, symbol[b.data]),
+        "n_words": n_words, "word_chars": word_chars, "n_symbols": V.byte_counts(b, _SYMBOL),
         "n_dup_lines": np.bincount(of[full], earlier, b.docs).astype(np.int64), "n_repeat_words": repeat5, "base_failed": base_failed,
         "kept": ~(base_failed | bad | (in_lines > line_share)), "dup_ngram_share": worst, "dup_line_share": in_lines, "worst_ngram": worst_n,
     }

@@ -46,12 +46,11 @@ _SYMBOL, _BRACKET, _QUOTE, _STOP = _table(b"#*$%&|<>@\\^~_=+"), _table(b"()[]{}"
 
 def statistics(b: V.Block) -> np.ndarray:
     """One row per document of a block, one column per entry of STATISTICS."""
-    p = V.prefix_sums(b.data)
-    w, rows = V.words(b, p=p), V.lines(b, p)
+    w, rows = V.words(b), V.lines(b)
     size = np.maximum(np.diff(b.at), 1)
     n = np.diff(w.at)
     n1 = np.maximum(n, 1)
-    share = lambda t: np.sqrt(V.per_doc(b.at, t[b.data]) / size)
+    share = lambda t: np.sqrt(V.byte_counts(b, t) / size)
     length = w.end - w.begin
     mean = V.per_doc(w.at, length) / n1
     spread = np.sqrt(np.maximum(V.per_doc(w.at, length * length) / n1 - mean * mean, 0))
@@ -75,19 +74,21 @@ def statistics(b: V.Block) -> np.ndarray:
     twice[full] = pd.Series(rows.hash[full] ^ salt[of[full]]).duplicated(keep="first").to_numpy()
     last = b.data[np.maximum(rows.end - 1, 0)] if len(b.data) else np.zeros(len(of), np.uint8)
     plain = full & ~_STOP[last]
-    letters = np.concatenate(([0], np.cumsum(_LETTER[b.data])))
+    letters = V.span_counts(lambda i, j: _LETTER[b.data[i:j]], len(b.data), w.begin, w.end)
     begin = b.data[w.begin] if len(w.begin) else np.zeros(0, np.uint8)
-    where = np.repeat(np.arange(b.docs), np.diff(b.at))
-    entropy = np.zeros(b.docs)
-    for a in range(0, b.docs, 4096):  # 4096 documents by 256 bytes at once
-        z = min(b.docs, a + 4096)
-        cells = np.bincount((where[b.at[a] : b.at[z]] - a) * 256 + b.data[b.at[a] : b.at[z]], minlength=(z - a) * 256).reshape(-1, 256) / size[a:z, None]
-        entropy[a:z] = -(cells * np.log(np.maximum(cells, 1e-12))).sum(axis=1)
+    cells = np.zeros((b.docs, 256))
+    for lo in range(0, len(b.data), V.PIECE):
+        hi = min(len(b.data), lo + V.PIECE)
+        d0, d1 = int(np.searchsorted(b.at, lo, "right")) - 1, int(np.searchsorted(b.at, hi, "left"))
+        where = np.repeat(np.arange(d1 - d0), np.diff(np.clip(b.at[d0 : d1 + 1], lo, hi)))
+        cells[d0:d1] += np.bincount(where * 256 + b.data[lo:hi], minlength=(d1 - d0) * 256).reshape(-1, 256)
+    cells /= size[:, None]
+    entropy = -(cells * np.log(np.maximum(cells, 1e-12))).sum(axis=1)
     out = [
         np.log1p(size), np.log1p(n), np.log1p(mean), np.log1p(spread), share(_UPPER), share(_DIGIT), share(_PUNCT), share(np.arange(256) >= 128), share(_SYMBOL),
         np.log1p(size / n_lines), np.sqrt(V.per_doc(w.at, length <= 3) / n1), V.per_doc(w.at, first) / n1, np.sqrt(top / n1), np.sqrt(V.per_doc(w.at, again) / n1),
         np.sqrt(np.bincount(of, twice, b.docs) / n_lines), np.sqrt(np.bincount(of, plain, b.docs) / n_lines), np.sqrt(V.per_doc(w.at, _UPPER[begin]) / n1),
-        np.sqrt(V.per_doc(w.at, letters[w.end] == letters[w.begin]) / n1), np.sqrt(V.per_doc(b.at, _STOP[b.data]) / n1), np.log1p(longest), entropy, share(_BRACKET), share(_QUOTE),
+        np.sqrt(V.per_doc(w.at, letters == 0) / n1), np.sqrt(V.byte_counts(b, _STOP) / n1), np.log1p(longest), entropy, share(_BRACKET), share(_QUOTE),
     ]
     return np.column_stack(out)
 

@@ -3,12 +3,16 @@
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D; in UTF-8 these bytes occur in no other character, so
 this is ``[^\\x20\\x09-\\x0D]+`` over code points. Hashes are polynomials modulo 2**64 over random byte values, mixed at
 the end: equal words have equal hashes wherever they stand, and 64 bits keep different ones apart.
+
+What is held for each byte of a text is held for a piece of ``PIECE`` bytes at a time, so a very long text takes memory for
+its words only (begin, end and hash: 24 bytes a word).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -20,22 +24,19 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 0xD6E8FEB86659FD93 | 1
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: list[np.ndarray] = []
 
 
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, n at least."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        both = []
-        for x in (_BASE, pow(_BASE, -1, 2**64)):
-            a = np.full(size, x, U)
-            a[0] = 1
-            both.append(np.multiply.accumulate(a))
-        if size > 1 << 23:  # not kept: one very long text must not hold memory for good
-            return both[0], both[1]
-        _powers[:] = both
-    return _powers[0], _powers[1]
+def _table(x: int, n: int) -> np.ndarray:
+    a = np.full(n, x, U)
+    a[0] = 1
+    return np.multiply.accumulate(a)
+
+
+#: Bytes or words that are looked at at once; a longer text is read in pieces of so many.
+PIECE = 1 << 18
+_POWERS, _INVERSE = (_table(x, PIECE + 1) for x in (_BASE, pow(_BASE, -1, 2**64)))
+#: Longer words have a cryptographic hash: polynomials modulo 2**64 can be led to collide by long texts of a certain pattern.
+LONG_WORD = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,7 +60,7 @@ class Block:
         return len(self.at) - 1
 
 
-def blocks(texts: pa.Array, limit: int = 1 << 20) -> Iterator[Block]:
+def blocks(texts: pa.Array, limit: int = PIECE) -> Iterator[Block]:
     """An Arrow string array as blocks of about ``limit`` bytes (a longer text is a block of its own). Nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -97,41 +98,75 @@ class Spans:
         return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    powers, _ = _grown(len(data) + 1)
-    p = np.empty(len(data) + 1, U)
-    p[0] = 0
-    np.cumsum(_BYTE[data] * powers[: len(data)], out=p[1:])
-    return p
+def pieces(n: int, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, slice, np.ndarray, np.ndarray]]:
+    """Pieces of n places, and which of the spans (ascending, apart from one another) have a part in each: first and last
+    place, numbers of the spans, and where in the piece their parts begin and end."""
+    for s in range(0, n, PIECE):
+        e = min(n, s + PIECE)
+        i, j = int(np.searchsorted(end, s, "right")), int(np.searchsorted(begin, e, "left"))
+        if i < j:
+            yield s, e, slice(i, j), np.maximum(begin[i:j], s) - s, np.minimum(end[i:j], e) - s
+
 
+def span_hashes(values, n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hash of each span of n values; values(i, j) gives those from i to j. Memory is bounded by a piece."""
+    out = np.zeros(len(begin), U)
+    for s, e, own, b, z in pieces(n, begin, end):
+        p = np.zeros(e - s + 1, U)
+        np.cumsum(values(s, e) * _POWERS[: e - s], out=p[1:])
+        part = (p[z] - p[b]) * _INVERSE[b]
+        if begin[own.start] < s:  # goes on from the piece before
+            part[:1] *= U(pow(_BASE, s - int(begin[own.start]), 2**64))
+        out[own] += part
+    return mix(out + (end - begin).astype(U))
 
-def _hash(p: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, inverse = _grown(len(p))
-    return mix((p[end] - p[begin]) * inverse[begin] + (end - begin).astype(U))
+
+def span_counts(marks, n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many of the places of each span are marked; marks(i, j) tells for those from i to j."""
+    out = np.zeros(len(begin), np.int64)
+    for s, e, own, b, z in pieces(n, begin, end):
+        c = np.zeros(e - s + 1, np.int32)
+        np.cumsum(marks(s, e), out=c[1:])
+        out[own] += c[z] - c[b]
+    return out
+
+
+def byte_counts(b: Block, table: np.ndarray) -> np.ndarray:
+    """How many bytes of each document the table of 256 marks."""
+    return span_counts(lambda i, j: table[b.data[i:j]], len(b.data), b.at[:-1], b.at[1:])
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def words(b: Block, data: np.ndarray | None = None, p: np.ndarray | None = None, split: np.ndarray | None = None) -> Spans:
+def words(b: Block, data: np.ndarray | None = None, split: np.ndarray | None = None) -> Spans:
     """Words of a block. data: bytes to take for the block's own; split: bytes before which a word is split as well."""
     data = b.data if data is None else data
-    if not len(data):
+    n = len(data)
+    if not n:
         e = np.zeros(0, np.int64)
         return Spans(e, e, np.zeros(0, U), np.zeros(b.docs + 1, np.int64))
-    solid = ~SPACE[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[b.at] = True
-    if split is not None:
-        edge[:-1] |= split
-    begin = np.flatnonzero(solid & (edge[:-1] | np.concatenate(([True], ~solid[:-1]))))
-    end = np.flatnonzero(solid & (edge[1:] | np.concatenate((~solid[1:], [True])))) + 1
-    p = prefix_sums(data) if p is None else p
-    return Spans(begin, end, _hash(p, begin, end), np.searchsorted(begin, b.at, "left"))
-
-
-def lines(b: Block, p: np.ndarray) -> Spans:
+    begins, ends = [], []
+    for s in range(0, n, PIECE):
+        e = min(n, s + PIECE)
+        low, high = max(s - 1, 0), min(e + 1, n)
+        solid = np.zeros(e - s + 2, bool)  # with a byte on either side
+        solid[low - s + 1 : high - s + 1] = ~SPACE[data[low:high]]
+        edge = np.zeros(e - s + 1, bool)
+        edge[b.at[np.searchsorted(b.at, s, "left") : np.searchsorted(b.at, e, "right")] - s] = True
+        if split is not None:
+            edge[: high - s] |= split[s:high][: e - s + 1]
+        begins.append(np.flatnonzero(solid[1:-1] & (edge[:-1] | ~solid[:-2])) + s)
+        ends.append(np.flatnonzero(solid[1:-1] & (edge[1:] | ~solid[2:])) + s + 1)
+    begin, end = (np.concatenate(x) if len(x) > 1 else x[0] for x in (begins, ends))
+    h = span_hashes(lambda i, j: _BYTE[data[i:j]], n, begin, end)
+    for k in np.flatnonzero(end - begin > LONG_WORD):
+        h[k] = int.from_bytes(blake2b(memoryview(np.ascontiguousarray(data[begin[k] : end[k]])), digest_size=8).digest(), "little")
+    return Spans(begin, end, h, np.searchsorted(begin, b.at, "left"))
+
+
+def lines(b: Block) -> Spans:
     """Every line of every document, split at \\n; an empty text is one empty line."""
     breaks = np.flatnonzero(b.data == 10)
     of = np.searchsorted(b.at, breaks, "right") - 1
@@ -139,7 +174,8 @@ def lines(b: Block, p: np.ndarray) -> Spans:
     begin = np.concatenate((b.at[:-1], breaks + 1))
     end = np.concatenate((b.at[1:], breaks))
     begin, end = begin[np.lexsort((begin, doc))], end[np.lexsort((end, doc))]
-    return Spans(begin, end, _hash(p, begin, end), np.searchsorted(np.sort(doc), np.arange(b.docs + 1), "left"))
+    h = span_hashes(lambda i, j: _BYTE[b.data[i:j]], len(b.data), begin, end)
+    return Spans(begin, end, h, np.searchsorted(np.sort(doc), np.arange(b.docs + 1), "left"))
 
 
 def grams(s: Spans, n: int) -> tuple[np.ndarray, np.ndarray]:
