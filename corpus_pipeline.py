@@ -41,15 +41,17 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     follows the text. Rows equal in id and text are cut alike; other columns pass, whatever their names."""
     scratch = Scratch(spark, "spans")
     spans = scratch.cut(op6_substring_dedup.repeated_spans(docs, scratch=scratch), "spans")
+    scratch.keep_only(spans)
     cut = op6_substring_dedup.remove_spans(docs, spans)
     return cut.where(F.col("text").rlike(op2_mixing.WORD)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and drops documents as the target weights of their sources ask for. A null source is a source; a null or empty
+    """Repeats and drops documents as the target weights of their sources ask for, and keeps the mean logarithm of their
+    lengths, so that the mixture of sources does not shift how long documents are. A null source is a source; a null or empty
     text has no words and goes; ties (equal ids and sizes) are interchangeable; other columns pass, whatever their names; an
     empty table stays empty."""
-    mixed = op2_mixing.materialise(docs)
+    mixed = op2_mixing.materialise(docs, covariate=op2_mixing.log_size)
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -36,6 +36,7 @@ class Scratch:
         root, files = self._files(self.root)
         files.mkdirs(root)
         files.deleteOnExit(root)  # what is not dropped before goes when the driver ends
+        self.made: list[str] = []
 
     def _files(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -48,6 +49,7 @@ class Scratch:
     def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = self.path(name)
         df.write.parquet(path)
+        self.made.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._loomstone_path = path
         return out
@@ -58,6 +60,12 @@ class Scratch:
                 p, files = self._files(path)
                 files.delete(p, True)
 
+    def keep_only(self, *frames: DataFrame) -> None:
+        """Deletes all tables but these."""
+        for path in {*self.made} - {getattr(df, "_loomstone_path", None) for df in frames}:
+            p, files = self._files(path)
+            files.delete(p, True)
+
 
 def row_keys(id_col: str = "doc_id", text_col: str = "text") -> list:
     """A 128-bit digest of a row's id and text, as the columns row_key and row_key2."""

@@ -321,7 +321,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, small_bucket: int = SMALL_BUCKET) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept, and row_key and row_key2 (a digest of id and text) and root (a
     number of the component; null for an empty set)."""
-    scratch = scratch or Scratch(docs.sparkSession, "minhash")
+    own, scratch = scratch is None, scratch or Scratch(docs.sparkSession, "minhash")
     s = NearDuplicates(docs, id_col, text_col, scratch, small_bucket)
     s.nodes()
     links = s.first_round()
@@ -333,7 +333,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = scratch.cut(label, "labels")
     of = roots.select("node", F.col("root").alias("of")).join(label, F.col("of") == F.col("root")).select(F.col("node").alias("in_node"), "root", "component_id")
     of = s.node.join(of, F.col("node") == F.col("in_node"), "left").select("k1", "k2", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "label").alias("component_id"))
-    of = scratch.cut(of, "of").withColumnsRenamed({"k1": "of_k1", "k2": "of_k2"})
+    of = scratch.cut(of, "of")
+    if own:
+        scratch.keep_only(of, s.documents)
+    of = of.withColumnsRenamed({"k1": "of_k1", "k2": "of_k2"})
     out = s.documents.join(of, (F.col("n_shingles") > 0) & (F.col("k1") == F.col("of_k1")) & (F.col("k2") == F.col("of_k2")), "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *ROW, "root")

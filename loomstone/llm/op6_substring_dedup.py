@@ -10,9 +10,9 @@ in id and text are made one before they are cut into chunks.
 
 The first chunk of a digest, in the order of (doc_id, digest of the row, place), stays; later ones are duplicates. Runs of
 consecutive duplicate chunks of ``LEAST_WORDS`` words or more in all are removed; shorter ones are what any two texts
-may share. First places are aggregated per digest before and after the shuffle, only digests that occur twice go on,
-and they meet the chunks in a join whose hot keys Spark can split; so a passage that a third of all documents share
-stays with no one task.
+may share. Half digests are counted first, before and after a shuffle of nothing else, and a bounded bit map of those that
+occur twice lets other chunks stay where they are. For the rest, first places are aggregated per digest and meet the chunks
+in a join whose hot keys Spark can split; so a passage that a third of all documents share stays with no one task.
 
 Defined results: null and empty texts have no chunk and stay as they are; rows equal in id and text count as one
 document; rows that share an id but not a text are apart; ties have the order above; other columns are kept apart by
@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomstone.llm import textvec as V
-from loomstone.llm.common import ROW, Scratch, any_row, lean, parted, row_keys, table
+from loomstone.llm.common import ROW, Scratch, any_row, lean, narrowed, parted, row_keys, table
 
 REACH = 3
 LONGEST = 16
@@ -148,9 +148,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = scratch or Scratch(docs.sparkSession, "substrings")
     c = scratch.cut(_chunks(once(docs, id_col, text_col, scratch), reach), "chunks")
     here = F.struct("doc_id", *ROW, "place")
-    first = c.groupBy(*DIGEST).agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*DIGEST, "first")
+    again = scratch.cut(c.groupBy("digest").count().where("count > 1").select("digest"), "again")
+    some = narrowed(c, "digest", again, "digest")  # all chunks that occur twice, and perhaps others
+    first = some.groupBy(*DIGEST).agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*DIGEST, "first")
     first = scratch.cut(first, "first")
-    later = c.join(first, DIGEST).where(here > F.col("first"))
+    later = some.join(first, DIGEST).where(here > F.col("first"))
     runs = later.withColumn("run", F.col("place") - F.row_number().over(W.partitionBy("doc_id", *ROW).orderBy("place")))
     spans = runs.groupBy("doc_id", *ROW, "run").agg(
         F.min("begin_byte").alias("begin_byte"), F.max("end_byte").alias("end_byte"), F.sum("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_chunks"),
