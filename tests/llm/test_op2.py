@@ -1,9 +1,11 @@
 """Mixing: targets against a loop that shares the excess again, and what the rows take."""
 
 import math
+import random
 from collections import defaultdict
 
 from loomstone.llm import op2_mixing as X
+from loomstone.llm.common import Scratch
 
 DOCS = [
     (1, "a b c d e f g h", "s1"), (2, None, "s1"), (3, "", None), (4, " x\x0by\x1cz é ", None), (5, "one", "a"), (6, "one two three", "a"), (6, "one two three", "a"), (7, "w " * 300, "big"), (8, "w " * 500, "big"),
@@ -60,11 +62,108 @@ def test_targets_and_copies(spark):
     assert sorted(map(str, X.mix(frame(spark)).collect())) == sorted(map(str, got))
 
 
-def test_newton_solves_the_dual(spark):
-    rows = [(100, 200.0), (100, 1.0), (10**12, 3.0), (7, 7.0), (0, 0.0), (5, 0.0)]
-    got = [r[0] for r in spark.createDataFrame(rows, "s long, t double").select(X.newton("s", "t")).collect()]
-    for (s, t), r in zip(rows, got, strict=True):
-        assert math.isclose(r * s, t, rel_tol=1e-12)
+def solved(spark, classes, aims, constrained):
+    """multipliers, rates and what was measured; classes: (source, size, x, n), aims: source -> (size, target)."""
+    c = spark.createDataFrame([(False, *r) for r in classes], "missing boolean, name string, size long, x double, n long")
+    s = spark.createDataFrame([(False, k, a, t >= 2 * a, t) for k, (a, t) in aims.items()], "missing boolean, name string, source_size long, full boolean, target double")
+    found, shared, mean, measured = X.balance(c, s, Scratch(spark, "test"), constrained)
+    rows = c.join(found, X.SOURCE).select("name", "size", "x", "n", X.rate_of(shared, mean, 2.0).alias("rate")).collect()
+    return rows, shared, mean, measured
+
+
+def test_newton_from_the_corpus_as_it_is(spark):
+    aims = {"a": (100, 199.0), "b": (100, 1.0), "c": (10**12, 3.0), "d": (7, 7.0), "e": (0, 0.0), "f": (5, 0.0), "g": (50, 100.0)}
+    rows, _, _, measured = solved(spark, [(k, a, 0.0, 1) for k, (a, _) in aims.items()], aims, False)
+    for r in rows:
+        assert math.isclose(r["rate"] * r["size"], aims[r["name"]][1], rel_tol=1e-10, abs_tol=1e-9)
+    assert measured["residual"] <= X.TOLERANCE and measured["passes"] > 3
+
+
+def plain_balance(classes, aims):
+    """The same rates by bisection within bisection."""
+    total = sum(n * z for _, z, _, n in classes)
+    mean = sum(n * z * x for _, z, x, n in classes) / total
+
+    def rates(mu):
+        out = {}
+        for s, (size, target) in aims.items():
+            own = [(z * n, x - mean, (s, z, x)) for t, z, x, n in classes if t == s]
+            if target >= 2 * size:
+                out |= {k: 2.0 for _, _, k in own}
+                continue
+            lo, hi = -60.0, 60.0
+            for _ in range(200):
+                mid = (lo + hi) / 2
+                lo, hi = (lo, mid) if sum(w * min(2.0, math.exp(mid + mu * x)) for w, x, _ in own) > target else (mid, hi)
+            out |= {k: min(2.0, math.exp(lo + mu * x)) for _, x, k in own}
+        return out, mean
+
+    def drift(mu):
+        r, _ = rates(mu)
+        return sum(n * z * r[s, z, x] * (x - mean) for s, z, x, n in classes)
+
+    lo, hi = -1.0, 1.0
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if drift(mid) > 0 else (mid, hi)
+    return rates(lo)[0], lo
+
+
+def test_a_shared_constraint_needs_more_than_a_rate_per_source(spark):
+    rng = random.Random(4)
+    classes = [(s, z, math.log(z), rng.randint(1, 40)) for s, low in (("long", 300), ("short", 5), ("mid", 60), ("other", 90)) for z in rng.sample(range(low, 6 * low), 12)] + [("full", z, math.log(z), 2) for z in (80, 90)]
+    size = {s: sum(z * n for t, z, _, n in classes if t == s) for s in ("long", "short", "mid", "other", "full")}
+    aims = {s: (size[s], f * size[s]) for s, f in {"long": 1.5, "short": 1.7, "mid": 1.3, "other": 1.9, "full": 2.0}.items()}
+    rows, shared, mean, measured = solved(spark, classes, aims, True)
+    want, mu = plain_balance(classes, aims)
+    assert measured["residual"] <= X.TOLERANCE and measured["shared_residual"] <= X.TOLERANCE and abs(shared) < X.TILT
+    assert math.isclose(shared, mu, rel_tol=1e-6)
+    for r in rows:
+        assert math.isclose(r["rate"], want[r["name"], r["size"], r["x"]], rel_tol=1e-6) and r["rate"] <= 2
+    one_rate = sum(r["n"] * r["size"] * aims[r["name"]][1] / size[r["name"]] * (r["x"] - mean) for r in rows)
+    total = sum(r["n"] * r["size"] * abs(r["x"] - mean) for r in rows)
+    assert abs(one_rate) > 0.01 * total  # target / size per source does not meet the constraint
+    assert len({round(r["rate"], 6) for r in rows if r["name"] == "long"}) > 6
+
+
+def test_mix_with_a_covariate_meets_targets(spark):
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randint(1, 400 if i % 3 else 30), f"s{i % 3}") for i in range(600)]
+    got = X.mix(frame(spark, rows), covariate=X.log_size).collect()
+    taken, target = defaultdict(int), {}
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source_size"]] += r["taken"]
+        target[r["source_size"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 0.5 + 1e-9 for s in target)
+    partial = [r for r in got if r["size"] and r["taken"] % r["size"]]
+    assert len(partial) <= len(target)  # all others are whole copies
+    assert sorted(map(str, X.mix(frame(spark, rows).repartition(7), covariate=X.log_size).select("doc_id", "taken").collect())) == sorted(str(r) for r in [type(g)(doc_id=g["doc_id"], taken=g["taken"]) for g in got])
+
+
+def test_equal_rows_at_the_cut(spark):
+    rows = [(7, "a b c", "s")] * 400 + [(i, "x " * 5, "s") for i in range(100)] + [(None, "q r", "t")] * 300 + [(1, "z " * 50, "u")] * 20
+    got = X.mix(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r["source_size"]] += r["taken"]
+        target[r["source_size"]] = r["target"]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+    assert all(abs(taken[s] - target[s]) <= 0.5 + 1e-9 for s in target)
+    mixed = X.materialise(frame(spark, rows)).collect()
+    words = defaultdict(int)
+    for r in mixed:
+        words[r["source"]] += len(r["text"].split())
+    assert sorted(words.values()) == sorted(taken.values())
+
+
+def test_many_sources(spark):
+    rows = [(i, "w " * (1 + i % 7), f"source {i:03d}") for i in range(300)]
+    sizes = {f"source {i:03d}": 1 + i % 7 for i in range(300)}
+    want = shared(sizes)
+    for r in X.mix(frame(spark, rows)).collect():
+        assert math.isclose(r["target"], want[f"source {r['doc_id']:03d}"], rel_tol=1e-9)
 
 
 def test_empty_and_wordless(spark):
