@@ -5,7 +5,7 @@ space and splits there), nor from an ASCII letter to an ASCII character that is
 distinct such part is encoded once by the tokenizer and its ids are reused. What comes out is what encoding the whole
 text gives. A document is its ids and the end id; only longer ones are cut.
 
-Pieces are dealt by a digest to groups of about 8,192, whose number follows the bytes of text; full pieces are sequences
+Equal pieces are counted; pieces, equal ones in lots of 256, are dealt by a digest to groups of about 8,192, whose number follows the bytes of text; full pieces are sequences
 already. A group is packed by best fit in decreasing order. Then local search moves a document from an emptier bin to
 a fuller one with room, or exchanges one for a shorter one, two for one, or one for two, whenever that increases the
 sum of squared fills, and so drains the emptiest bins until some are empty. The search is bounded and may stop while steps
@@ -16,7 +16,8 @@ of no use it looks at about 32. No piece is lost by that, but there may be some
 how many, on groups of many short pieces, is not measured.
 
 Defined results: null and empty texts are one piece holding the end id; repeated rows are packed once each; rows with
-equal ids and different texts keep their pieces apart by digest; an empty table gives an empty result.
+equal ids and different texts keep their pieces apart by digest; only id and text are read, whatever other columns are
+called; a very long text is encoded with some 20 bytes of memory a byte; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,11 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm import textvec as V
-from loomstone.llm.common import spread, table
+from loomstone.llm.common import lean, spread, table
 
 CAPACITY = 2048
 END_ID = 0
 GROUP = 8192
+ALIKE = 256
 CACHE_WORDS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -58,13 +60,34 @@ def parts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
     return lower, split
 
 
+#: The rules of a tokenizer that works within what ``parts`` makes.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None, "padding": None,
+}
+
+
 class WordIds:
-    """Token ids of words, kept in flat arrays; forgets all when it holds too many."""
+    """Token ids of words, kept in flat arrays; forgets all when it holds too many. Words are told apart by 64-bit hashes, as
+    good as random for words of up to 512 bytes and cryptographic for longer ones. With a tokenizer of other rules whole texts
+    are encoded."""
 
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f)
+        self.by_word = all(found.get(k) == v for k, v in RULES.items())
         self.clear()
 
     def clear(self) -> None:
@@ -92,6 +115,9 @@ class WordIds:
 
     def encode(self, b: V.Block) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a block's documents one after the other, and where each document's begin."""
+        if not self.by_word:
+            each = [self.tokenizer.encode(b.data[x:y].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids for x, y in zip(b.at[:-1], b.at[1:], strict=True)]
+            return np.fromiter((i for ids in each for i in ids), np.uint32), np.concatenate(([0], np.cumsum([len(ids) for ids in each])))
         data, split = parts(b.data)
         w = V.words(b, data, split=split)
         codes, distinct = pd.factorize(w.hash)
@@ -137,7 +163,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), PIECES)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -239,16 +265,20 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> tuple[np.ndarr
     return of, at
 
 
-def pack(pieces: DataFrame, expected: int, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """pieces (doc_id, piece, start, length, and others) with sequence_id and offset. expected: about how many there are."""
+def pack(pieces: DataFrame, expected: int, capacity: int = CAPACITY, group: int = GROUP, alike: int = ALIKE) -> DataFrame:
+    """pieces (doc_id, piece, start, length, and others) with sequence_id and offset. expected: about how many there are. Equal
+    pieces are counted first and dealt in lots of ``alike``, so any number of them spreads over the groups."""
     groups = spread(expected, group)
-    others = [c for c in pieces.columns if c not in ("doc_id", "piece", "start", "length")]
-    p = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", *others), F.lit(groups)))
-    out = ", ".join(f"{n} {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
     names = pieces.columns
+    others = [c for c in names if c not in ("doc_id", "piece", "start", "length")]
+    p = pieces.groupBy(*names).agg(F.count(F.lit(1)).alias("pack_times"))
+    p = p.withColumn("pack_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("pack_times") - 1) / alike).cast("long"))))
+    p = p.withColumn("pack_times", F.least(F.lit(alike), F.col("pack_times") - F.col("pack_lot") * alike)).withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", *others, "pack_lot"), F.lit(groups)))
+    out = ", ".join(f"{n} {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", *others], ascending=[False] + [True] * (2 + len(others)), kind="stable", ignore_index=True)
+        rows = rows.sort_values(["length", "doc_id", "piece", *others, "pack_lot"], ascending=[False] + [True] * (3 + len(others)), kind="stable", ignore_index=True)
+        rows = rows.loc[rows.index.repeat(rows["pack_times"])].reset_index(drop=True)
         of, at = pack_lengths(rows["length"].tolist(), capacity)
         return rows[names].assign(sequence_id=of + (int(key[0]) << 32), offset=at)
 
