@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by inner product: a robust-pruned directed graph in each shard, searched by beams.
 
 Vectors that are equal share one node; a node keeps the smallest ids of its copies, one more than are asked for, which is
-all that a result can show of them. Nodes are dealt by a digest to shards of about ``SHARD`` nodes, all of one dimension.
+all that a result can show of them. Nodes are dealt by a digest to shards, all of one dimension, of a size that grows with the
+root of their number (``shard_size``).
 A shard's vectors get one more component, which makes all lengths equal, so that the largest inner product is the
 smallest distance. Its graph is built in batches: a greedy beam search of the graph so far proposes neighbours, relaxed
 pruning drops those that a kept, closer one covers (by the factor ``ALPHA``), reverse edges are added and pruned alike.
@@ -13,12 +14,13 @@ links nodes that no beam from the entry reaches, so none is lost.
 
 Defined results: vectors that are null, empty, zero, or hold a null or a non-finite component take no part, nor do rows
 without an id; vectors of different lengths are not compared; a repeated id stands for each of its vectors; fewer
-candidates than asked for give fewer rows; an empty table gives none.
+candidates than asked for give fewer rows; other columns may have any name; an empty table gives none. Every dimension that
+occurs is one row of the plan, which the driver holds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -31,18 +33,29 @@ from loomstone.llm.common import Scratch, spread, table
 K = 20
 QUERY_STEP = 20
 SHARD = 8192
+LARGEST_SHARD = 1 << 17
 QUERY_BLOCK = 2048
 DEGREE = 32
 BUILD_BEAM = 48
 SEARCH_BEAM = 96
 ALPHA = 1.2
+UNEVEN = 16  # times the median length
+
+
+def shard_size(n: int) -> int:
+    """Nodes of a shard: ``SHARD`` up to some millions of vectors, then growing with the root of their number, so that the
+    number of shards which each query must search grows with the root as well."""
+    return min(LARGEST_SHARD, max(SHARD, 4 * isqrt(n)))
 
 
 def lifted(x: np.ndarray) -> np.ndarray:
-    """Vectors with one more component, so that all have the same length (float32, scaled to at most 1)."""
+    """Vectors with one more component, so that all have the same length, scaled to 1. In single precision, or in double if the
+    longest vector is so much longer than most that distances among these would be lost in rounding."""
+    x = x / (np.abs(x).max(initial=0) or 1.0)
     n = np.einsum("ij,ij->i", x, x)
     most = n.max(initial=0) or 1.0
-    return np.column_stack((x, np.sqrt(np.maximum(most - n, 0)))).astype(np.float32) / np.float32(np.sqrt(most))
+    kind = np.float32 if most <= UNEVEN**2 * np.median(n) else np.float64
+    return (np.column_stack((x, np.sqrt(np.maximum(most - n, 0)))) / np.sqrt(most)).astype(kind)
 
 
 def beam_search(x: np.ndarray, edges: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int, expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +65,7 @@ def beam_search(x: np.ndarray, edges: np.ndarray, entries: np.ndarray, queries:
     seen = np.zeros((q, n + 1), bool)
     seen[:, n] = True
     ids = np.full((q, beam), n)
-    near = np.full((q, beam), -np.inf, np.float32)
+    near = np.full((q, beam), -np.inf, x.dtype)
     done = np.ones((q, beam), bool)
     e = entries[:beam]
     ids[:, : len(e)], near[:, : len(e)], done[:, : len(e)] = e, queries @ x[e].T, False
@@ -74,7 +87,7 @@ def beam_search(x: np.ndarray, edges: np.ndarray, entries: np.ndarray, queries:
         width = int(fresh.sum(axis=1).max(initial=0))
         if width:
             more = np.full((len(active), width), n)
-            score = np.full((len(active), width), -np.inf, np.float32)
+            score = np.full((len(active), width), -np.inf, x.dtype)
             place = (np.cumsum(fresh, axis=1) - 1)[row, col]
             more[row, place] = at
             score[row, place] = np.einsum("ij,ij->i", queries[active[row]], x[at])
@@ -192,13 +205,13 @@ def nodes_of(rows: DataFrame, k: int) -> DataFrame:
     return ranked.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.size("vec").alias("dim"), "vec", "ids")
 
 
-def search(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", shard: int = SHARD, query_block: int = QUERY_BLOCK, degree: int = DEGREE, beam: int = SEARCH_BEAM, scratch: Scratch | None = None) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", shard: int | None = None, query_block: int = QUERY_BLOCK, degree: int = DEGREE, beam: int = SEARCH_BEAM, scratch: Scratch | None = None) -> DataFrame:
     """Each query row's k nearest other rows: query_id, rank, vec_id, score. is_query: a condition on the rows of vectors."""
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "ann")
     nodes = scratch.cut(nodes_of(usable(vectors, id_col, vec_col), k), "nodes")
     sizes = {r["dim"]: r["count"] for r in nodes.groupBy("dim").count().collect()}
-    plan = spark.createDataFrame([(d, spread(n, shard)) for d, n in sizes.items()] or [(0, 1)], "dim int, shards int")
+    plan = spark.createDataFrame([(d, spread(n, shard or shard_size(n))) for d, n in sizes.items()] or [(0, 1)], "dim int, shards int")
     dealt = nodes.join(F.broadcast(plan), "dim").withColumn("shard", F.pmod(F.xxhash64("vec"), F.col("shards")).cast("int"))
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -231,7 +244,8 @@ def search(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec
         step = max(16, min(512, (64 << 20) // len(x)))
         for lo in range(0, len(q), step):
             part = q[lo : lo + step]
-            scaled = np.column_stack((part / np.linalg.norm(part, axis=1, keepdims=True), np.zeros(len(part)))).astype(np.float32)
+            even = part / np.abs(part).max(axis=1, keepdims=True)
+            scaled = np.column_stack((even / np.linalg.norm(even, axis=1, keepdims=True), np.zeros(len(part)))).astype(y.dtype)
             found, _ = beam_search(y, edges, entries, scaled, width)
             row, col = np.nonzero(found >= 0)
             node = found[row, col]
