@@ -36,7 +36,8 @@ def parser() -> argparse.ArgumentParser:
     s = add("inspect", "store")
     s.add_argument("ids", nargs="+", type=int)
     s.add_argument("-v", "--verbose", action="store_true")
-    add("search", "store", "query", limit={"type": int, "default": 10})
+    s = add("search", "store", "query", limit={"type": int, "default": 10})
+    s.add_argument("-e", "--explain", action="store_true")
     add("insert", "store", "input")
     s = add("remove", "store")
     s.add_argument("ids", nargs="+", type=int)
@@ -70,7 +71,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
         return out
     if c == "search":
         rows = store.search(args.query, args.limit).orderBy("rank").collect()
-        return [f"{r['name']} score={r['score']:.2f} [{', '.join(r['sources'])}]" for r in rows] or ["no results"]
+        return [line for r in rows for line in ranked(r, args.explain)] or ["no results"]
     if c == "insert":
         e = read_entities(spark, args.input)
         store.insert(e)
@@ -93,6 +94,15 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
     return [f"before: {format_bytes(before)}", f"after: {format_bytes(after)}", f"saved: {format_bytes(max(saved, 0))} ({100 * max(saved, 0) / max(before, 1):.1f} %)"]
 
 
+def ranked(r, explain: bool) -> list[str]:
+    """A result, and below it, if asked for, why it was found."""
+    out = [f"{r['name']} score={r['score']:.2f} [{', '.join(r['sources'])}]"]
+    for e in r["explanations"] if explain else ():
+        told = [f"{k}={e[k]}" for k in ("term", "key", "value", "target") if e[k] is not None]
+        out.append(f"  {e['kind']}: {', '.join(told)}")
+    return out
+
+
 def inspected(r, verbose: bool) -> list[str]:
     shown = lambda a: next((str(a[k]) for k in ("s", "i", "d", "b") if a[k] is not None), "")
     out = [f"{r['entity_id']}: {', '.join(r['aliases'])}", f"  tags: {', '.join(r['tags'])}"]

@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from loomstone.functions.text import normalize, tokens, value_text
+from loomstone.functions.text import normalize, normalize_text, tokens, value_text
 from loomstone.schema import conform
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-INDEXES = ("aliases", "tokens", "tags", "sources", "attributes", "attribute_terms", "relationships", "names")
+#: Index frames, and what each is looked up by (a pair begins with its key).
+ORDER = {"aliases": "alias", "tokens": "token", "tags": "tag", "sources": "source", "attributes": "pair", "attribute_terms": "term", "relationships": "target_id", "names": "entity_id"}
+INDEXES = tuple(ORDER)
 
 
 class Corpus:
@@ -65,24 +67,43 @@ class Corpus:
         """The display name: the first alias."""
         return self.plain.select("entity_id", F.when(F.size("aliases") > 0, F.col("aliases")[0]).alias("name"))
 
-    def indexed(self, path: str) -> Corpus:
-        """This corpus with its index frames written under path, sorted within files by what is looked up."""
-        order = {"aliases": "alias", "tokens": "token", "tags": "tag", "sources": "source", "attributes": "key", "attribute_terms": "term", "relationships": "target_id", "names": "entity_id"}
-        for name in INDEXES:
-            getattr(self, name).sortWithinPartitions(order[name]).write.mode("overwrite").parquet(f"{path}/{name}")
-        self.entities.write.mode("overwrite").parquet(f"{path}/entities")
-        return Corpus.at(self.spark, path)
+    def indexed(self, path: str, entities: DataFrame | None = None) -> Corpus:
+        """This corpus with its index frames written under path. entities: where these are written already; else they are
+        written too, first, and the frames derive from them. Files hold ranges of what is looked up, in its order, so a
+        lookup reads few of them."""
+        if entities is None:
+            self.entities.write.mode("overwrite").parquet(f"{path}/entities")
+            entities = self.spark.read.parquet(f"{path}/entities")
+        written = Corpus(entities)
+        for name, key in ORDER.items():
+            by = (key,) if key == "entity_id" else (key, "entity_id")
+            getattr(written, name).repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").parquet(f"{path}/{name}")
+        return Corpus.at(self.spark, path, entities)
 
     @classmethod
-    def at(cls, spark, path: str) -> Corpus:
-        out = cls(spark.read.parquet(f"{path}/entities"))
+    def at(cls, spark, path: str, entities: DataFrame | None = None) -> Corpus:
+        out = cls(spark.read.parquet(f"{path}/entities") if entities is None else entities)
         for name in INDEXES:
             out.__dict__[name] = spark.read.parquet(f"{path}/{name}")
         return out
 
+    def changed(self, touched: DataFrame, entities: DataFrame) -> Corpus:
+        """This corpus after the entities of some ids (touched, distinct) have become what they are in entities, or have gone.
+        Index frames of all others stay as they are."""
+        fresh = Corpus(entities.join(touched, "entity_id", "left_semi"))
+        out = Corpus(entities)
+        for name in INDEXES:
+            out.__dict__[name] = getattr(self, name).join(touched, "entity_id", "left_anti").unionByName(getattr(fresh, name))
+        return out
+
     def entity(self, entity_id: int) -> DataFrame:
         return self.entities.where(F.col("entity_id") == entity_id)
 
+    def registered(self, kind: str, name: str | None = None, number: int | None = None) -> DataFrame:
+        """The row of a registry by name or by id."""
+        r = self.registry(kind)
+        return r.where(F.col("name") == normalize_text(name)) if name is not None else r.where(F.col("id") == number)
+
     def registry(self, kind: str) -> DataFrame:
         """id and name of all tags, sources, attribute_keys or relationship_types, numbered in the order in which they first
         appear. One row per name is ordered in one task; these are vocabularies."""
@@ -97,15 +118,17 @@ class Corpus:
         return first.select((F.row_number().over(W.orderBy("at")) - 1).cast("int").alias("id"), "name")
 
     def stats(self) -> DataFrame:
-        """One row of counts."""
-        one = lambda df, *columns: df.agg(*columns)
-        n = lambda c: F.count_distinct(c)
-        e = one(self.entities, F.count(F.lit(1)).alias("entities"), F.coalesce(F.sum(F.size("relationships")), F.lit(0)).cast("bigint").alias("relationships"))
-        a = one(self.aliases, n("alias").alias("aliases"), F.count(F.lit(1)).alias("fuzzy_aliases")).withColumn("trie", F.col("aliases"))
-        rest = [
-            one(self.tokens, n("token").alias("tokens")), one(self.tags, n("tag").alias("tags")), one(self.sources, n("source").alias("sources")),
-            one(self.attributes, n("key").alias("attributes")), one(self.relationships, n("kind").alias("relationship_types")),
-        ]
-        for r in [a, *rest]:
-            e = e.crossJoin(r)  # one row each
-        return e.select("entities", "tags", "sources", "attributes", "relationship_types", "aliases", "trie", "fuzzy_aliases", "tokens", "relationships")
+        """One row of counts: one pass over the entities, whose terms are counted by kind and name, then by kind."""
+        alias = F.transform("aliases", normalize)
+        of = lambda kind, names: F.transform(names, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+        terms = F.concat(
+            of("entity", F.array(F.lit(""))), of("alias", alias), of("token", F.flatten(F.transform(alias, tokens))), of("tag", F.transform("tags", normalize)),
+            of("source", F.transform("sources", lambda x: normalize(x["provider"]))), of("attribute", F.transform("attributes", lambda x: normalize(x["key"]))),
+            of("relationship", F.transform("relationships", lambda x: normalize(x["kind"]))),
+        )
+        n = self.entities.select(F.explode(terms).alias("t")).groupBy("t.kind", "t.name").agg(F.count(F.lit(1)).alias("n")).groupBy("kind").agg(F.count("name").alias("names"), F.sum("n").alias("n"))
+        pick = lambda kind, c, to: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col(c))), F.lit(0)).alias(to)
+        return n.agg(
+            pick("entity", "n", "entities"), pick("tag", "names", "tags"), pick("source", "names", "sources"), pick("attribute", "names", "attributes"), pick("relationship", "names", "relationship_types"),
+            pick("alias", "names", "aliases"), pick("alias", "names", "trie"), pick("alias", "n", "fuzzy_aliases"), pick("token", "names", "tokens"), pick("relationship", "n", "relationships"),
+        )

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import time
 from dataclasses import dataclass
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,10 +87,16 @@ def value_text(kind: Column, s: Column, i: Column, d: Column, b: Column) -> Colu
 
 
 def format_bytes(n: int) -> str:
-    """A size for people: whole bytes, else one decimal of the largest fitting 1024-based unit."""
-    size, units = float(n), ["B", "KB", "MB", "GB", "TB"]
-    k = 0
-    while size >= 1024 and k < len(units) - 1:
-        size /= 1024
-        k += 1
-    return f"{n} B" if k == 0 else f"{size:.1f} {units[k]}"
+    """A size for people: whole bytes, else one decimal of the largest fitting 1024-based unit, terabytes at most."""
+    power = min(max(n.bit_length() - 1, 0) // 10, 4)
+    return f"{n / 1024**power:.1f} {'KMGT'[power - 1]}B" if power else f"{n} B"
+
+
+def timestamp_now() -> int:
+    """This moment as dates are kept: milliseconds since 1970 in UTC."""
+    return time.time_ns() // 1_000_000
+
+
+def as_datetime(timestamp: int) -> datetime:
+    """A kept date as a moment in UTC."""
+    return datetime(1970, 1, 1, tzinfo=UTC) + timedelta(milliseconds=timestamp)

@@ -9,7 +9,7 @@ from functools import reduce
 
 from loomstone.corpus import Corpus
 from loomstone.functions.text import Value, normalize_text
-from loomstone.operators.search import fuzzy_pairs, prefix_pairs
+from loomstone.operators.search import FEW, fuzzy_pairs, matched_aliases, near, prefix_pairs, prefixed
 from loomstone.plans.query import And, AttributeFilter, Not, Or, Plan, Query, RelationshipFilter, SourceFilter, TagFilter, leaves
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,7 +137,11 @@ def _one_pass(corpus: Corpus, expr, strict_not: bool) -> DataFrame:
     return flags.withColumn("n", count(expr)).where("n > 0").select("entity_id", F.array_repeat(F.lit("Property"), F.col("n")).alias("signals"))
 
 
-def _words(corpus: Corpus, query: Query) -> DataFrame:
+def _words(query: Query) -> list[dict]:
+    return [{"query_id": i, "q": t} for i, t in enumerate(query.tokens)]
+
+
+def _word_frame(corpus: Corpus, query: Query) -> DataFrame:
     return corpus.spark.createDataFrame([(i, t) for i, t in enumerate(query.tokens)], "query_id bigint, q string")
 
 
@@ -147,18 +151,18 @@ def stage(corpus: Corpus, query: Query, kind: str, distance: int | None = None)
         found = corpus.aliases.where(F.col("alias") == query.normalized).select("entity_id").distinct()
     elif not query.tokens:
         found = corpus.aliases.select("entity_id").limit(0)
-    elif kind in ("PrefixAlias", "FuzzyAlias"):
-        pairs = prefix_pairs if kind == "PrefixAlias" else lambda *a: fuzzy_pairs(*a, 1 if distance is None else distance)
-        words, few = _words(corpus, query), len(query.tokens) <= 256
-        matched = pairs(corpus.aliases.select("alias").distinct(), words, few).withColumnRenamed("alias", "matched")
-        found = corpus.aliases.join(matched, F.col("alias") == F.col("matched")).select("entity_id")
+    elif kind == "PrefixAlias":
+        found = prefixed(corpus.aliases, _words(query)) if len(query.tokens) <= FEW else matched_aliases(corpus, prefix_pairs(corpus.aliases.select("alias").distinct(), _word_frame(corpus, query), False))
+    elif kind == "FuzzyAlias":
+        far = 1 if distance is None else distance
+        found = near(corpus.aliases, _words(query), far) if len(query.tokens) <= FEW else matched_aliases(corpus, fuzzy_pairs(corpus.aliases.select("alias").distinct(), _word_frame(corpus, query), False, far))
     elif kind == "Token":
-        found = corpus.tokens.join(_words(corpus, query), F.col("token") == F.col("q")).select("entity_id")
+        found = corpus.tokens.where(F.col("token").isin(sorted(set(query.tokens)))).join(_word_frame(corpus, query), F.col("token") == F.col("q"))
     elif kind == "Tag":
-        found = corpus.tags.join(_words(corpus, query), F.col("tag") == F.col("q")).select("entity_id")
+        found = corpus.tags.where(F.col("tag").isin(sorted(set(query.tokens)))).join(_word_frame(corpus, query), F.col("tag") == F.col("q"))
     else:  # attribute and relationship stages do nothing without a filter
         found = corpus.aliases.select("entity_id").limit(0)
-    return found.withColumn("signal", F.lit(kind))
+    return found.select("entity_id", F.lit(kind).alias("signal"))
 
 
 def filter_search(corpus: Corpus, text: str, strict_not: bool = False) -> DataFrame:

@@ -11,8 +11,8 @@ from loomstone.operators.search import SIGNALS, search
 from loomstone.plans.query import Query, parse_filter_expr
 from loomstone.schema import WEIGHTS
 from loomstone.sources import testdata
-from loomstone.sources.scratch import scratch_dir
-from loomstone.sources.store import EntityStore, build
+from loomstone.sources.scratch import numbered, scratch_dir
+from loomstone.sources.store import EntityStore, build, merge_stores
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,6 +157,21 @@ def m_store_whole(spark, d):
     return _stored(spark, d, 9)
 
 
+def m_order(spark, d):
+    """The places of all parts in a store that two merged: the left one took two batches, the later ids first, and was not
+    flushed; the right one has the other parts, and some that the left one has too."""
+    e = _parts(spark, d)
+    parent = scratch_dir(spark, "order")
+    left = EntityStore.create(spark, parent, "left")
+    left.insert(_digit(e, 5, 6))
+    left.insert(_digit(e, 1, 2))
+    right = EntityStore.create(spark, parent, "right")
+    right.insert(e.where(~(F.col("entity_id") % 10).isin(1, 5)))
+    merge_stores(spark, left.root, right.root, f"{parent}/both")
+    found = numbered(EntityStore.open(spark, f"{parent}/both").entities().select("entity_id", "ord"), f"{parent}/numbered", "place", "ord")
+    return found.select("entity_id", "place")
+
+
 def _single(query: str, signal: str) -> Callable:
     return lambda spark, d: search(corpus(spark, d), query, signals=(signal,), explain=False).select("entity_id", "name", "score")
 
@@ -186,6 +201,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "l_prefix": lambda s, d: lookups.by_prefix(corpus(s, d), "blue"),
         "l_distance": lambda s, d: lookups.by_distance(corpus(s, d), "rad bolts", 2),
         "l_related": lambda s, d: lookups.related_to(corpus(s, d), 1003).select("entity_id", "kind"),
+        "l_resolve": lambda s, d: lookups.resolve(corpus(s, d), "Red-Bolt"),
+        "l_token": lambda s, d: lookups.by_token(corpus(s, d), "Ring"),
+        "l_tag": lambda s, d: lookups.with_tag(corpus(s, d), "PROMO"),
+        "l_source": lambda s, d: lookups.with_source(corpus(s, d), "src0"),
+        "l_attribute": lambda s, d: lookups.with_attribute(corpus(s, d), "Brand", "Brand#2"),
+        "l_compare": lambda s, d: lookups.compare_attribute(corpus(s, d), "retailprice", ">", Value("integer", 1500)),
+        "l_rel_kind": lambda s, d: lookups.relationships_of(corpus(s, d), 1003, "part_of").select("entity_id", "kind", "target_id"),
+        "l_rel_for": lambda s, d: lookups.relationships_of(corpus(s, d), 10_000_001).select("entity_id", "kind", "target_id"),
+        "l_relationship": lambda s, d: lookups.with_relationship(corpus(s, d), "located_in", 1003),
+        "l_entity": lambda s, d: _named(corpus(s, d).entity(1003)),
+        "b_similar": lambda s, d: filters.filter_search(corpus(s, d), "similar promo").select("entity_id", F.array_join("signals", ",").alias("signals")),
+        "b_plan_relationship": lambda s, d: filters.filter_search(corpus(s, d), "made ring").select("entity_id", F.array_join("signals", ",").alias("signals")),
+        "m_order": m_order,
+        "registry_sources": lambda s, d: corpus(s, d).registry("sources"),
+        "registry_kinds": lambda s, d: corpus(s, d).registry("relationship_types"),
         "stats": lambda s, d: corpus(s, d).stats(),
         "registry_tags": lambda s, d: corpus(s, d).registry("tags"),
         "registry_keys": lambda s, d: corpus(s, d).registry("attribute_keys"),
@@ -327,6 +357,21 @@ def oracle_sql() -> dict[str, str]:
         "l_prefix": f"{c} SELECT DISTINCT entity_id FROM al WHERE starts_with(alias, 'blue')",
         "l_distance": f"{c} SELECT DISTINCT entity_id FROM al WHERE levenshtein(alias, 'rad bolts') <= 2",
         "l_related": f"{c} SELECT entity_id, kind FROM rel WHERE target = 1003",
+        "l_resolve": f"{c} SELECT DISTINCT entity_id FROM al WHERE alias = 'red bolt'",
+        "l_token": f"{c} SELECT DISTINCT entity_id FROM tok WHERE token = 'ring'",
+        "l_tag": f"{c} SELECT entity_id FROM tg WHERE tag = 'promo'",
+        "l_source": f"{c} SELECT DISTINCT entity_id FROM src WHERE source = 'src0'",
+        "l_attribute": f"{c} SELECT DISTINCT entity_id FROM av WHERE key = 'brand' AND v = 'brand#2'",
+        "l_compare": f"{c} SELECT DISTINCT entity_id FROM av WHERE key = 'retailprice' AND d > 1500",
+        "l_rel_kind": f"{c} SELECT entity_id, kind, target AS target_id FROM rel WHERE entity_id = 1003 AND kind = 'part_of'",
+        "l_rel_for": f"{c} SELECT entity_id, kind, target AS target_id FROM rel WHERE entity_id = 10000001",
+        "l_relationship": f"{c} SELECT entity_id FROM rel WHERE kind = 'located_in' AND target = 1003",
+        "l_entity": f"{c} SELECT entity_id, name FROM names WHERE entity_id = 1003",
+        "b_similar": f"{c} SELECT entity_id, string_agg('Tag', ',') AS signals FROM ({stage_sql('similar promo', 'Tag')}) GROUP BY entity_id",
+        "b_plan_relationship": f"{c} SELECT entity_id, string_agg('Token', ',') AS signals FROM ({stage_sql('made ring', 'Token')}) GROUP BY entity_id",
+        "m_order": f"WITH {PARTS_SQL} SELECT entity_id, row_number() OVER (ORDER BY CASE WHEN g IN (5, 6) THEN 0 WHEN g IN (1, 2) THEN 1 ELSE 2 END, entity_id) - 1 AS place FROM p",
+        "registry_sources": registry("SELECT source AS name, {'e': entity_id} AS place FROM src"),
+        "registry_kinds": registry("SELECT kind AS name, {'e': entity_id} AS place FROM rel"),
         "stats": f"""{c} SELECT (SELECT count(*) FROM ent) AS entities, (SELECT count(DISTINCT tag) FROM tg) AS tags, (SELECT count(DISTINCT source) FROM src) AS sources, (SELECT count(DISTINCT key) FROM attr) AS attributes,
           (SELECT count(DISTINCT kind) FROM rel) AS relationship_types, (SELECT count(DISTINCT alias) FROM al) AS aliases, (SELECT count(DISTINCT alias) FROM al) AS trie, (SELECT count(*) FROM al) AS fuzzy_aliases,
           (SELECT count(DISTINCT token) FROM tok) AS tokens, (SELECT count(*) FROM rel) AS relationships""",

@@ -30,8 +30,6 @@ WEIGHTS = {
 }
 #: Fixed value: what each further signal adds, in hundredths.
 BONUS = 3
-#: Names of the relationship kinds that are built in.
-BUILT_IN_KINDS = ("is_a", "instance_of", "part_of", "made_by", "owned_by", "located_in", "similar_to", "replaced_by")
 
 
 def typed_attributes(attributes: Column | str, infer_types: bool = False) -> Column:

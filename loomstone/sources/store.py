@@ -1,6 +1,6 @@
 """A persistent store: versioned Parquet snapshots, a pointer to the current one, and a log of batches since.
 
-``root/snapshots/v=N`` holds entities; ``root/log/b=K`` holds a batch of operations; ``root/CURRENT`` names the snapshot and
+``root/snapshots/v=N`` holds entities, ``root/indexes/v=N`` their index frames; ``root/log/b=K`` holds a batch of operations; ``root/CURRENT`` names the snapshot and
 the first batch that it does not cover, and is replaced by a rename. Reading is the snapshot and the replay of later
 batches; batches that a snapshot covers are ignored even if deleting them failed, so no crash between two steps loses or
 repeats an operation. Any store that Hadoop's file systems reach will do."""
@@ -11,7 +11,7 @@ import json
 import time
 from dataclasses import asdict, dataclass
 
-from loomstone.corpus import Corpus
+from loomstone.corpus import INDEXES, Corpus
 from loomstone.errors import (
     EntityAlreadyExists,
     InvalidFormat,
@@ -28,11 +28,15 @@ from loomstone.errors import (
 from loomstone.operators import lifecycle
 from loomstone.operators.search import search
 from loomstone.schema import ENTITY, conform
+from loomstone.sources.scratch import numbered
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = 1
 LOG = f"seq bigint, op string, {ENTITY}"
+ENTITY_COLUMNS = ("entity_id", "ord", "aliases", "tags", "attributes", "relationships", "sources")
+#: Where a store is, if nothing else is said.
+DEFAULT_PATH = "loomstone.store"
 
 
 @dataclass
@@ -114,6 +118,15 @@ class EntityStore:
             raise UnsupportedVersion(f"a store of another version at {root}")
         return cls(spark, root, Config(**found))
 
+    @classmethod
+    def at(cls, spark: SparkSession, root: str = DEFAULT_PATH, **config) -> EntityStore:
+        """The store at a path, made if there is none."""
+        root = root.rstrip("/")
+        if Files(spark, root).exists(f"{root}/CURRENT"):
+            return cls.open(spark, root)
+        parent, _, name = root.rpartition("/")
+        return cls.create(spark, parent or ".", name, **config)
+
     def _current(self) -> tuple[int, int]:
         c = json.loads(self.files.read(f"{self.root}/CURRENT"))
         return c["snapshot"], c["first_batch"]
@@ -135,8 +148,8 @@ class EntityStore:
     def snapshot(self) -> DataFrame:
         return self.spark.read.schema(ENTITY).parquet(f"{self.root}/snapshots/v={self._current()[0]}")
 
-    def log(self) -> DataFrame:
-        paths = [f"{self.root}/log/b={b}" for b in self._batches()]
+    def log(self, batches: list[int] | None = None) -> DataFrame:
+        paths = [f"{self.root}/log/b={b}" for b in (self._batches() if batches is None else batches)]
         return self.spark.read.schema(LOG).parquet(*paths) if paths else self.spark.createDataFrame([], LOG)
 
     def entities(self) -> DataFrame:
@@ -144,7 +157,12 @@ class EntityStore:
         return lifecycle.replay(self.snapshot(), self.log()) if self._batches() else self.snapshot()
 
     def corpus(self) -> Corpus:
-        return Corpus(self.entities())
+        """The entities with the index frames of the snapshot, in which those that the log names are replaced."""
+        at = f"{self.root}/indexes/v={self._current()[0]}"
+        if not self.files.exists(f"{at}/{INDEXES[-1]}/_SUCCESS"):
+            return Corpus(self.entities())
+        indexed = Corpus.at(self.spark, at, self.snapshot())
+        return indexed.changed(self.log().select("entity_id").distinct(), self.entities()) if self._batches() else indexed
 
     def search(self, queries, limit: int | None = None) -> DataFrame:
         return search(self.corpus(), queries, limit)
@@ -160,12 +178,22 @@ class EntityStore:
 
     # writing
 
+    def write_batch(self, b: int, rows: DataFrame, *order: str) -> None:
+        """Writes batch b of the log: rows (op and the columns of an entity) with sequence numbers that go on after those of the
+        batches before it."""
+        earlier = [x for x in self._batches() if x < b]
+        last = self.log(earlier).agg(F.max("seq")).first()[0] if earlier else None
+        unordered = f"{self.root}/log/_{b}"
+        rows = numbered(rows, unordered, "seq", *order).withColumn("seq", F.col("seq") + F.lit(0 if last is None else last + 1))
+        rows.select("seq", "op", *ENTITY_COLUMNS).write.mode("overwrite").parquet(f"{self.root}/log/b={b}")
+        self.files.delete(unordered)
+
     def _append(self, op: str, rows: DataFrame) -> None:
-        """Sequence numbers are the batch's number and the place within it, so they grow from batch to batch."""
-        b = self.next_batch()
-        seq = (F.lit(b) * F.lit(1 << 40) + F.monotonically_increasing_id() % F.lit(1 << 40)) if op != "insert" else F.lit(b) * F.lit(1 << 40) + F.pmod(F.col("ord"), F.lit(1 << 40))
-        rows = conform(rows)
-        rows.select(seq.cast("bigint").alias("seq"), F.lit(op).alias("op"), *rows.columns).write.mode("overwrite").parquet(f"{self.root}/log/b={b}")
+        """Sequence numbers follow the order of the batch. If more than ``max_segment_size`` bytes of log are pending, these are
+        flushed into a snapshot first."""
+        if self.files.size(f"{self.root}/log") > self.config.max_segment_size:
+            self.flush()
+        self.write_batch(self.next_batch(), conform(rows).withColumn("op", F.lit(op)), "ord", "entity_id")
 
     def insert(self, batch: DataFrame) -> None:
         if found := lifecycle._ids(lifecycle.existing(self.entities(), batch)):
@@ -190,20 +218,31 @@ class EntityStore:
         if len(self.files.names(f"{self.root}/snapshots")) >= self.config.max_segments:
             raise StorageLimit(f"{self.config.max_segments} snapshots are kept at most; compact first")
         self.entities().write.mode("overwrite").parquet(f"{self.root}/snapshots/v={version + 1}")
+        self._index(version + 1)
         self._point(version + 1, batches[-1] + 1)
         for b in batches:
             self.files.delete(f"{self.root}/log/b={b}")
 
+    def _index(self, version: int) -> None:
+        """Writes the index frames of a snapshot; those of older ones than the current one go."""
+        snapshot = self.spark.read.schema(ENTITY).parquet(f"{self.root}/snapshots/v={version}")
+        Corpus(snapshot).indexed(f"{self.root}/indexes/v={version}", snapshot)
+        for name in self.files.names(f"{self.root}/indexes"):
+            if int(name[2:]) < version - 1:
+                self.files.delete(f"{self.root}/indexes/{name}")
+
     def compact(self, per_file: int = 5_000_000) -> tuple[int, int]:
         """Rewrites the current state in files of about so many entities, deletes other snapshots and covered batches.
         Bytes before and after."""
         before = self.size()
         version, batches = self._current()[0], self._batches()
         self.entities().write.mode("overwrite").option("maxRecordsPerFile", per_file).parquet(f"{self.root}/snapshots/v={version + 1}")
+        self._index(version + 1)
         self._point(version + 1, self.next_batch())
         for name in self.files.names(f"{self.root}/snapshots"):
             if name != f"v={version + 1}":
                 self.files.delete(f"{self.root}/snapshots/{name}")
+                self.files.delete(f"{self.root}/indexes/{name}")
         for b in batches:
             self.files.delete(f"{self.root}/log/b={b}")
         return before, self.size()

@@ -47,8 +47,8 @@ def apply(store: EntityStore, operations: DataFrame, checkpoint: str, rejected:
         try:
             if rejected:
                 judged.where("error is not null").select("seq", "op", "entity_id", "error").write.mode("overwrite").parquet(f"{rejected}/n={number}")
-            good = judged.where("error is null").drop("error").withColumn("seq", F.lit(b) * F.lit(1 << 40) + F.col("seq"))
-            good.write.mode("overwrite").parquet(f"{store.root}/log/b={b}")
+            good = judged.where("error is null").drop("error").withColumn("stream_seq", F.col("seq"))
+            store.write_batch(b, good, "stream_seq")
         finally:
             judged.unpersist()
 
