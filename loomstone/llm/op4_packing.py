@@ -39,7 +39,7 @@ CAPACITY = 2048
 END_ID = 0
 GROUP = 8192
 ALIKE = 256
-CACHE_WORDS = 200_000
+CACHE_WORDS = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
@@ -91,12 +91,16 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.seen: dict[int, int] = {}
+        self.keys, self.place = np.zeros(0, V.U), np.zeros(0, np.int32)  # hashes, ascending, and numbers of their words
         self.ids, self.at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
         self.n = 0
 
-    def add(self, hashes: list[int], words: list[str], together: int = 512) -> None:
+    def add(self, hashes: np.ndarray, words: list[str], together: int = 512) -> None:
         """Encodes words, many in one text, and tells them apart by where each token stands in it."""
+        turn = np.argsort(hashes, kind="stable")
+        where = np.searchsorted(self.keys, hashes[turn])
+        self.keys = np.insert(self.keys, where, hashes[turn])
+        self.place = np.insert(self.place, where, (self.n + turn).astype(np.int32))
         for i in range(0, len(words), together):
             part = words[i : i + together]
             begin = np.concatenate(([0], np.cumsum([len(w) + 1 for w in part])))
@@ -110,9 +114,15 @@ class WordIds:
                 self.at = np.concatenate((self.at, np.zeros(len(self.at), np.int64)))
             self.ids[self.at[self.n] : z] = e.ids
             self.at[self.n + 1 : self.n + len(part) + 1] = self.at[self.n] + np.cumsum(count)
-            self.seen.update(zip(hashes[i : i + together], range(self.n, self.n + len(part)), strict=True))
             self.n += len(part)
 
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of words, -1 of those that are not kept."""
+        if not self.n:
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, self.place[at].astype(np.int64), -1)
+
     def encode(self, b: V.Block) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a block's documents one after the other, and where each document's begin."""
         if not self.by_word:
@@ -123,15 +133,14 @@ class WordIds:
         codes, distinct = pd.factorize(w.hash)
         if self.n + len(distinct) > CACHE_WORDS:
             self.clear()
-        known = [self.seen.get(h, -1) for h in distinct.tolist()]
-        if new := [i for i, k in enumerate(known) if k < 0]:
+        known = self.known(distinct)
+        if len(new := np.flatnonzero(known < 0)):
             first = np.zeros(len(distinct), np.int64)
             first[codes[::-1]] = np.arange(len(codes))[::-1]
             raw = data.tobytes()
-            self.add(distinct[new].tolist(), [raw[x:y].decode("utf-8", "replace") for x, y in zip(w.begin[first[new]].tolist(), w.end[first[new]].tolist(), strict=True)])
-            for i in new:
-                known[i] = self.seen[int(distinct[i])]
-        place = np.array(known, np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
+            known[new] = self.n + np.arange(len(new))
+            self.add(distinct[new], [raw[x:y].decode("utf-8", "replace") for x, y in zip(w.begin[first[new]].tolist(), w.end[first[new]].tolist(), strict=True)])
+        place = known[codes] if len(codes) else np.zeros(0, np.int64)
         start, n = self.at[place], self.at[place + 1] - self.at[place]
         total = np.concatenate(([0], np.cumsum(n)))
         ids = self.ids[np.repeat(start - total[:-1], n) + np.arange(total[-1])]
