@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomstone.llm import textvec as V
-from loomstone.llm.common import crc_mod, lean, table
+from loomstone.llm.common import crc_mod, lean, release, table
 
 DIM = 4096
 PER_LANGUAGE = 600
@@ -270,7 +270,7 @@ def keep_believed(docs: DataFrame, model: Model, least_score: float, text_col: s
                     keep.append(has_letter(b))
             yield pa.array(np.concatenate(keep))
             del part
-            pa.default_memory_pool().release_unused()
+            release()
 
     return docs.where(believed(F.col(text_col).cast("string")))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm import textvec as V
-from loomstone.llm.common import table
+from loomstone.llm.common import lean, table
 
 #: Largest share of a document's word characters inside repeated n-grams of each length, and inside repeated lines.
 MAX_NGRAM_SHARE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -87,7 +87,7 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 out = measure(b, limits, line_share)
                 yield pa.RecordBatch.from_arrays([ids.slice(b.first, b.docs), *map(pa.array, out.values())], ["doc_id", *out])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm import textvec as V
-from loomstone.llm.common import Scratch, crc_mod, table
+from loomstone.llm.common import Scratch, crc_mod, lean, table
 
 STATISTICS = (
     "chars words word_length word_spread upper digit punctuation beyond_ascii symbol line_length short_words distinct_words top_word "
@@ -102,7 +102,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.docs), batch.column(1).slice(b.first, b.docs), arrays], ["doc_id", "held_out", "stats"])
 
     held_out = crc_mod(id_col, 3) == 1
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
 @dataclass
@@ -185,7 +185,7 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None)
             s = model.score(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return stats.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return stats.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
