@@ -11,10 +11,11 @@ Schur complement gives the step, which is halved while the dual does not fall. T
 
 Rates become copies: every document gets the whole part of its rate, and the rest of its source's target goes as one further
 copy to documents in an order by a digest of their ids (divided by the fraction of the rate, if that differs within a source),
-up to a cut, so that only one copy a source is partial. The cut is found by aggregating ranges of that order, then the rows
-of one range; rows then need only what is known per source, so none is moved but where several equal rows lie at a cut.
+up to a cut, so that only one copy a source is partial. The cut is found by aggregating ranges of that order, ranges within
+one of them, and so on, and then the rows of the last; rows then need only what is known per source, so none is moved but
+where several equal rows lie at a cut.
 
-Nothing is ordered in one task but the ranges of one source (some thousands), the rows of one range, and partition counts;
+Nothing is ordered in one task but the ranges of one level (32 a source), the rows of one of a million ranges, and partition counts;
 names are numbered by ranges, and the sharing of the excess is a loop of aggregations. Only single rows come to the driver.
 
 Defined results: a null or empty text has size 0 and takes 0; null is a source like others, ordered last; equal ids with
@@ -41,7 +42,8 @@ MOST = 2.0
 TOLERANCE = 1e-11
 #: Aggregations at most; largest step of a source's multiplier and of the shared one; largest size of the shared one.
 PASSES, STEP, SHARED_STEP, TILT = 80, 2.0, 0.5, 1.0
-RANGES = 4096  # of the order of a source's documents
+#: The order of a source's documents has 2 ** BITS ranges, which are narrowed down LEVEL bits at a time.
+BITS, LEVEL = 20, 5
 SOURCE = ["missing", "name"]
 
 
@@ -155,18 +157,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         """rows with rate, whole, and their place in their source's order: range, key, digest, doc_id, size."""
         r = rows.join(s, SOURCE).withColumn("rate", rate).withColumn("whole", whole)
         if covariate is None:
-            return r.withColumn("key", F.lit(0.0)).withColumn("range", F.conv(F.substring("digest", 1, 3), 16, 10).cast("int"))
+            return r.withColumn("key", F.lit(0.0)).withColumn("range", F.shiftright(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), 32 - BITS))
         part = F.col("rate") - F.col("whole")
         key = F.when(part > 1e-9, F.conv(F.substring("digest", 1, 13), 16, 10).cast("double") / F.lit(float(16**13)) / part).otherwise(F.lit(1e18))
-        return r.withColumn("key", key).withColumn("range", F.least(F.floor(F.col("key") * RANGES), F.lit(4 * RANGES)).cast("int"))
+        return r.withColumn("key", key).withColumn("range", F.least(F.floor(F.col("key") * (1 << BITS - 2)), F.lit((1 << BITS) - 1)))  # nearly all keys are below 4
 
     place = lambda: F.struct("key", "digest", "doc_id", "size")
     before = lambda by, words: F.coalesce(F.sum(words).over(W.partitionBy(*SOURCE).orderBy(by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     here = (F.col("start") < F.col("more")) & (F.col("more") <= F.col("start") + F.col("words"))
-    ranges = ordered(light.where("size > 0")).groupBy(*SOURCE, "more", "range").agg(F.sum("size").alias("words")).withColumn("start", before("range", F.col("words"))).where(here)
-    ranges = scratch.cut(ranges.select(*SOURCE, F.col("range").alias("cut_range"), F.col("start").alias("range_start")), "ranges")
-    inside = ordered(light.where("size > 0")).join(ranges, SOURCE).where(F.col("range") == F.col("cut_range")).groupBy(*SOURCE, "more", "range_start", place().alias("place")).agg(F.count(F.lit(1)).alias("many"), F.sum("size").alias("words"))
-    cuts = inside.withColumn("start", F.col("range_start") + before("place", F.col("words"))).where(here).select(*SOURCE, F.col("place").alias("cut"), (F.col("more") - F.col("start")).alias("left"), "many")
+    rows = ordered(light.where("size > 0")).select(*SOURCE, "more", "range", "size", place().alias("place"))
+    at = s.select(*SOURCE, F.lit(0).cast("long").alias("cut"), F.lit(0).cast("long").alias("base"))
+    for shift in range(BITS - LEVEL, -1, -LEVEL):  # the cut is in one range of a level, and in one of the ranges within that
+        inside = rows.join(at, SOURCE).where(F.shiftright("range", shift + LEVEL) == F.col("cut"))
+        sums = inside.groupBy(*SOURCE, "more", "base", F.shiftright("range", shift).alias("part")).agg(F.sum("size").alias("words"))
+        sums = sums.withColumn("start", F.col("base") + before("part", F.col("words"))).where(here)
+        at = scratch.cut(sums.select(*SOURCE, F.col("part").alias("cut"), F.col("start").alias("base")), "ranges")
+    inside = rows.join(at, SOURCE).where(F.col("range") == F.col("cut")).groupBy(*SOURCE, "more", "base", "place").agg(F.count(F.lit(1)).alias("many"), F.sum("size").alias("words"))
+    cuts = inside.withColumn("start", F.col("base") + before("place", F.col("words"))).where(here).select(*SOURCE, F.col("place").alias("cut"), (F.col("more") - F.col("start")).alias("left"), "many")
     s = scratch.cut(s.join(cuts, SOURCE, "left"), "cuts")
 
     r = ordered(d if with_row else light).withColumn("place", place())
