@@ -206,7 +206,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "l_tag": lambda s, d: lookups.with_tag(corpus(s, d), "PROMO"),
         "l_source": lambda s, d: lookups.with_source(corpus(s, d), "src0"),
         "l_attribute": lambda s, d: lookups.with_attribute(corpus(s, d), "Brand", "Brand#2"),
-        "l_compare": lambda s, d: lookups.compare_attribute(corpus(s, d), "retailprice", ">", Value("integer", 1500)),
+        "l_compare": lambda s, d: lookups.compare_attribute(corpus(s, d), "acctbal", "<", Value("integer", 0)),
         "l_rel_kind": lambda s, d: lookups.relationships_of(corpus(s, d), 1003, "part_of").select("entity_id", "kind", "target_id"),
         "l_rel_for": lambda s, d: lookups.relationships_of(corpus(s, d), 10_000_001).select("entity_id", "kind", "target_id"),
         "l_relationship": lambda s, d: lookups.with_relationship(corpus(s, d), "located_in", 1003),
@@ -362,7 +362,7 @@ def oracle_sql() -> dict[str, str]:
         "l_tag": f"{c} SELECT entity_id FROM tg WHERE tag = 'promo'",
         "l_source": f"{c} SELECT DISTINCT entity_id FROM src WHERE source = 'src0'",
         "l_attribute": f"{c} SELECT DISTINCT entity_id FROM av WHERE key = 'brand' AND v = 'brand#2'",
-        "l_compare": f"{c} SELECT DISTINCT entity_id FROM av WHERE key = 'retailprice' AND d > 1500",
+        "l_compare": f"{c} SELECT DISTINCT entity_id FROM av WHERE key = 'acctbal' AND d < 0",
         "l_rel_kind": f"{c} SELECT entity_id, kind, target AS target_id FROM rel WHERE entity_id = 1003 AND kind = 'part_of'",
         "l_rel_for": f"{c} SELECT entity_id, kind, target AS target_id FROM rel WHERE entity_id = 10000001",
         "l_relationship": f"{c} SELECT entity_id FROM rel WHERE kind = 'located_in' AND target = 1003",
