@@ -1,0 +1,90 @@
+"""Members with stated lengths: any range of bytes can be read, unwanted blocks are passed over, and hidden folders are not seen."""
+
+import gzip
+import io
+import os
+import random
+
+import pytest
+from loomstone.llm import op10_warc as R
+
+
+def raw_record(kind, body):
+    return b"WARC/1.1\r\nWARC-Type: %s\r\nContent-Type: text/plain\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind, len(body), body)
+
+
+def archive(n=60):
+    rng = random.Random(1)
+    rows = [raw_record([b"response", b"revisit"][i % 2], rng.randbytes(rng.choice([0, 10, 3000, 60000])) + str(i).encode()) for i in range(n)]
+    rows.append(raw_record(b"response", R.member(raw_record(b"response", b"inside")) * 3))  # an archive within
+    return rows, [R.member(r) for r in rows]
+
+
+def test_members_are_plain_gzip():
+    rows, members = archive()
+    assert gzip.decompress(b"".join(members)) == b"".join(rows)
+    assert all(R.MEMBER.unpack(m[: R.MEMBER.size])[4] == len(m) for m in members)
+
+
+@pytest.mark.parametrize("step", [777, 20_000, 10_000_000])
+def test_ranges_cover_each_record_once(tmp_path, step):
+    rows, members = archive()
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(members))
+    size = path.stat().st_size
+    got = [x for at in range(0, size, step) for x in R.parse_range(str(path), at, min(size, at + step), lambda h: True, True)]
+    assert [r[2] for r in got] == [r.split(b"\r\n\r\n", 1)[1][:-4] for r in rows]
+    assert [r[0] for r in got] == [sum(map(len, members[:i])) for i in range(len(members))]
+    light = [x for at in range(0, size, step) for x in R.parse_range(str(path), at, min(size, at + step), lambda h: h["warc-type"] == "revisit", False)]
+    assert len(light) == 30 and {r[2] for r in light} == {None}
+
+
+def test_other_files_belong_to_their_first_range(tmp_path):
+    rows, _ = archive(10)
+    for name, data in (("a.warc", b"".join(rows)), ("b.warc.gz", gzip.compress(b"".join(rows)))):
+        path = tmp_path / name
+        path.write_bytes(data)
+        n = [len(list(R.parse_range(str(path), at, at + 1000, lambda h: True, True))) for at in (0, 1000, 2000)]
+        assert n == [len(rows), 0, 0]
+
+
+class Counting(io.BytesIO):
+    taken = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.taken += len(out)
+        return out
+
+
+def test_unwanted_blocks_are_not_read():
+    data = b"".join(R.member(raw_record(b"response", random.Random(i).randbytes(500_000))) for i in range(8)) + R.member(raw_record(b"revisit", b"x"))
+    f = Counting(data)
+    assert len(list(R.parse_members(f, 0, len(data), lambda h: h["warc-type"] == "revisit", True))) == 1
+    assert f.taken < 16_000
+    with pytest.raises(ValueError):
+        list(R.parse_members(io.BytesIO(data[:400_000]), 0, 400_000, lambda h: True, True))
+
+
+def test_hidden_folders_and_partitions(spark, tmp_path):
+    path = str(tmp_path / "a")
+    df = spark.createDataFrame([(i, f"http://h/{i}", os.urandom(400).hex()) for i in range(300)], "page_id long, url string, html string").repartition(3)
+    R.write_warc(R.records(df), path)
+    assert not [n for n in os.listdir(path) if n.startswith(".")]
+    for hidden in ("_temporary/0", ".staging-x"):
+        os.makedirs(f"{path}/{hidden}")
+        with open(f"{path}/{hidden}/part.warc.gz", "wb") as f:
+            f.write(R.member(raw_record(b"response", b"unfinished")))
+    assert R.read_warc(spark, path).count() == 300
+    size = sum(n for _, n in R._listed(path))
+    few, many = (R.read_warc(spark, path, partition_bytes=n) for n in (1 << 30, size // 20))
+    assert few.rdd.getNumPartitions() == 1 and many.rdd.getNumPartitions() >= 20
+    assert many.select("record_id").distinct().count() == 300 == many.count()
+    R.write_warc(R.records(df.limit(0)), path)
+    assert R.read_warc(spark, path).count() == 300
+
+
+def test_groups_are_told_apart_by_more_than_a_digest(spark):
+    df = spark.createDataFrame([(1, "u", "ab", 1), (2, "u", "ab", 2), (3, "v", None, 3), (4, "w", "", 4)], "page_id long, url string, html string, other long")
+    got = {r["page_id"]: (r["is_response"], r["response_key"]) for r in R.records(df).collect()}
+    assert got == {1: (False, 2), 2: (True, 2), 3: (False, 4), 4: (True, 4)}
