@@ -113,7 +113,8 @@ def narrowed(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, most
 
 def parted(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, most_bits: int = 25) -> tuple[DataFrame, DataFrame]:
     """The rows of a large frame whose key may be in wanted, and those whose key is surely not, without moving them: a bit
-    map of hashed keys, of 2 ** most_bits bits at most (a table of 8 MB), is broadcast."""
+    map of hashed keys, of 2 ** most_bits bits at most (half a million rows of 64 bits, some 21 MB as a hash table), is
+    broadcast."""
     n = wanted.count()
     bits = min(most_bits, max(16, (16 * n).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(F.lit(3), F.col(c)), F.lit(1 << bits))
