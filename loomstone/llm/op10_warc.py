@@ -117,17 +117,17 @@ def member(record: bytes, level: int = 6) -> bytes:
 
 
 class Member:
-    """The stream of one member's bytes, inflated no further than they are asked for."""
+    """The stream of one member's bytes, inflated no further than they are asked for. size: of its compressed bytes, if stated."""
 
-    def __init__(self, f, size: int, first: int = 1024):
-        self.f, self.left, self.held, self.next = f, size, bytearray(), first
-        self.z = zlib.decompressobj(-15)
+    def __init__(self, f, size: int | None, first: int = 1024):
+        self.f, self.left, self.held, self.next = f, 1 << 62 if size is None else size, bytearray(), first
+        self.z, self.taken = zlib.decompressobj(-15), 0
 
     def _inflate(self) -> bool:
         if not self.left or self.z.eof:
             return False
         got = self.f.read(min(self.left, self.next))
-        self.left, self.next = self.left - len(got), min(4 * self.next, PIECE)
+        self.left, self.next, self.taken = self.left - len(got), min(4 * self.next, PIECE), self.taken + len(got)
         self.held += self.z.decompress(got)
         if not got:
             raise ValueError("a member ends early")
@@ -149,6 +149,13 @@ class Member:
         return out
 
 
+    def compressed(self) -> int:
+        """How many compressed bytes it has, found by inflating the rest."""
+        while self._inflate():
+            self.held.clear()
+        return self.taken - len(self.z.unused_data)
+
+
 def record(f, start: int, wanted, payload: bool) -> tuple[dict, bytes | None, int | None, int, int, bool] | None:
     """One record from a stream: headers, payload (None if not asked for), the length that the HTTP header states, bytes of
     the block that are not read yet, bytes of the headers, and whether it is wanted, which is decided by the headers before
@@ -226,10 +233,11 @@ def parse_members(f, begin: int, end: int, wanted, payload: bool) -> Iterator[tu
         if not MARK.match(head):
             raise ValueError(f"no member at byte {at}")
         size = MEMBER.unpack(head)[4]
-        found = record(Member(f, size - MEMBER.size - 8), at, wanted, payload)
+        m = Member(f, size - MEMBER.size - 8 if size else None)
+        found = record(m, at, wanted, payload)
         if found and found[-1]:
             yield at, found[0], found[1], found[2]
-        at += size
+        at += size or MEMBER.size + m.compressed() + 8
 
 
 def parse_range(path: str, begin: int, end: int, wanted, payload: bool) -> Iterator[tuple[int, dict, bytes | None, int | None]]:
@@ -356,7 +364,7 @@ class WarcWriter(DataSourceArrowWriter):
         files, staging = _filesystem(self.staging)
         if files is None:
             shutil.rmtree(staging, ignore_errors=True)
-        elif files.get_file_info(staging).is_file is False:
+        elif files.get_file_info(staging).type.name == "Directory":
             files.delete_dir(staging)
 
 

@@ -48,6 +48,15 @@ def test_other_files_belong_to_their_first_range(tmp_path):
         assert n == [len(rows), 0, 0]
 
 
+def test_members_too_long_to_state_their_length():
+    rows, members = archive(12)
+    plain = [R.MEMBER.pack(b"\x1f\x8b\x08\x04", 12, b"sl", 8, 0, 0) + m[R.MEMBER.size :] if i % 3 == 1 else m for i, m in enumerate(members)]
+    data = b"".join(plain)
+    for wanted in (lambda h: True, lambda h: h["warc-type"] == "revisit"):
+        got = list(R.parse_members(io.BytesIO(data), 0, len(data), wanted, True))
+        assert [r[2] for r in got] == [r.split(b"\r\n\r\n", 1)[1][:-4] for r in rows if wanted({"warc-type": r.split(b"\r\n")[1].split()[1].decode()})]
+
+
 class Counting(io.BytesIO):
     taken = 0
 
