@@ -44,6 +44,7 @@ class Config:
     name: str
     max_segment_size: int = 64 << 20
     max_segments: int = 16
+    index_from: int = 8 << 20  # bytes: index frames of a smaller snapshot are made when they are asked for
 
 
 class Files:
@@ -224,9 +225,10 @@ class EntityStore:
             self.files.delete(f"{self.root}/log/b={b}")
 
     def _index(self, version: int) -> None:
-        """Writes the index frames of a snapshot; those of older ones than the current one go."""
-        snapshot = self.spark.read.schema(ENTITY).parquet(f"{self.root}/snapshots/v={version}")
-        Corpus(snapshot).indexed(f"{self.root}/indexes/v={version}", snapshot)
+        """Writes the index frames of a snapshot, unless it is small; those of older ones than the current one go."""
+        if self.files.size(f"{self.root}/snapshots/v={version}") >= self.config.index_from:
+            snapshot = self.spark.read.schema(ENTITY).parquet(f"{self.root}/snapshots/v={version}")
+            Corpus(snapshot).indexed(f"{self.root}/indexes/v={version}", snapshot)
         for name in self.files.names(f"{self.root}/indexes"):
             if int(name[2:]) < version - 1:
                 self.files.delete(f"{self.root}/indexes/{name}")
@@ -248,9 +250,9 @@ class EntityStore:
         return before, self.size()
 
 
-def build(spark: SparkSession, entities: DataFrame, parent: str, name: str) -> EntityStore:
+def build(spark: SparkSession, entities: DataFrame, parent: str, name: str, **config) -> EntityStore:
     """A new store with these entities."""
-    store = EntityStore.create(spark, parent, name)
+    store = EntityStore.create(spark, parent, name, **config)
     store.insert(entities)
     store.flush()
     return store

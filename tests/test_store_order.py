@@ -48,7 +48,7 @@ def found(df):
 
 
 def test_indexes_are_kept_and_follow_the_log(spark, tmp_path):
-    store = build(spark, load(spark, tmp_path, SHOP), str(tmp_path), "db")
+    store = build(spark, load(spark, tmp_path, SHOP), str(tmp_path), "db", index_from=0)
     assert set(INDEXES) <= set(store.files.names(f"{store.root}/indexes/v=1"))
     assert all("/indexes/v=1/" in f for f in store.corpus().aliases.inputFiles())
     store.update(load(spark, tmp_path, [entity(2, ["Renamed Drink"], ["water"])], "u.json"))
@@ -66,7 +66,7 @@ def test_indexes_are_kept_and_follow_the_log(spark, tmp_path):
 
 @pytest.mark.parametrize("query, signal, pushed", [("cola", "ExactAlias", "EqualTo(alias,cola)"), ("col", "PrefixAlias", "StringStartsWith(alias,col)"), ("water", "Token", "EqualTo(token,water)"), ("acme", "AttributeValue", "EqualTo(term,acme)"), ("brand=acme", "AttributeKeyValue", "EqualTo(pair,brand:acme)")])
 def test_literals_reach_the_scan(spark, tmp_path, query, signal, pushed):
-    corpus = build(spark, load(spark, tmp_path, SHOP), str(tmp_path), "db").corpus()
+    corpus = build(spark, load(spark, tmp_path, SHOP), str(tmp_path), "db", index_from=0).corpus()
     plan = search(corpus, query, signals=(signal,))._jdf.queryExecution().toString()
     assert pushed in plan and "NestedLoop" not in plan and "CartesianProduct" not in plan
     assert search(corpus, query, signals=(signal,)).count() > 0
@@ -82,6 +82,11 @@ def test_batches_at_distance_two(spark):
         fuzzy_pairs(a, q, False, 3)
 
 
+def test_small_snapshots_have_no_index_frames(spark, tmp_path):
+    store = build(spark, load(spark, tmp_path, SHOP), str(tmp_path), "db")
+    assert store.files.names(f"{store.root}/indexes") == [] and store.search("aurora").count() > 0
+
+
 def test_pending_log_is_flushed_when_it_is_large(spark, tmp_path):
     store = EntityStore.create(spark, str(tmp_path), "db", max_segment_size=1)
     store.insert(load(spark, tmp_path, SHOP[:2]))
